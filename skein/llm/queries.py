@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, neighbours
+from skein.llm import clusters, neardup, neighbours
 from skein.llm.vectors import current_records
 
 
@@ -21,6 +21,19 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe(clusters.mutual_clusters(current_records(_t(spark, sf, "vector_docs"))))
 
 
+def _current_chunks(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Each ``chunk_id`` once: its latest delivery, ties to the greatest content."""
+    c = _t(spark, sf, "chunks").filter("chunk_id IS NOT NULL")
+    last = c.groupBy("chunk_id").agg(F.max(F.struct("ingested_at", "content", *columns)).alias("r"))
+    return last.select("chunk_id", "r.content", *[f"r.{x}" for x in columns])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    vectors = current_records(_t(spark, sf, "vector_docs"))
+    return neardup.similar_texts(texts).unionByName(neardup.similar_vectors(vectors))
+
+
 def _every_50th(name: str):
     """Whether the number in an id is divisible by 50: the query set of searches."""
     return F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("bigint") % 50 == 0, F.lit(False))
