@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, neardup, neighbours
+from skein.llm import clusters, distinctive, neardup, neighbours, packing, splitting, tokens
 from skein.llm.vectors import current_records
 
 
@@ -48,5 +48,54 @@ def p3_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("id", "neighbour", F.round("sim", 6).alias("sim"), "rank")
 
 
+def _term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return distinctive.term_counts(_current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored = distinctive.residuals(_term_counts(spark, sf), only=F.col("tf") >= 3)
+    return scored.filter("df BETWEEN 2 AND 5 AND residual > 0").select(F.col("id").alias("chunk_id"), "term")
+
+
+def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = distinctive.residuals(_term_counts(spark, sf))
+    return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", F.round("residual", 6).alias("residual"))
+
+
+def _sized_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, text, limit, overlap)``; a null or unknown config is the one named default."""
+    conf = _t(spark, sf, "chunk_configs").select("config_id", "config_name", "max_chunk_size", "overlap_size")
+    default = conf.filter("config_name = 'default'").agg(F.first("max_chunk_size").alias("dm"), F.first("overlap_size").alias("do"))
+    c = _current_chunks(spark, sf, "config_id").join(F.broadcast(conf), "config_id", "left").join(F.broadcast(default))  # both fixed and tiny
+    return c.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), F.coalesce("max_chunk_size", "dm").alias("limit"), F.coalesce("overlap_size", "do").alias("overlap"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(_sized_chunks(spark, sf)).filter("piece = 0").select(F.col("id").alias("chunk_id"), "forced")
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(_sized_chunks(spark, sf)).select(F.col("id").alias("chunk_id"), "piece", "start", "end", "content")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(_t(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _containers(spark: SparkSession, sf: str) -> DataFrame:
+    from skein.session import cut_lineage
+
+    sizes = cut_lineage(tokens.count_tokens(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), out="size"))
+    return packing.fill(sizes)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _containers(spark, sf).filter("piece = 1").select(F.col("id").alias("doc_id"))
+
+
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _containers(spark, sf).select(F.col("id").alias("doc_id"), "piece", "start", "size", "container")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
