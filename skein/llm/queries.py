@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, distinctive, neardup, neighbours, packing, splitting, tokens
+from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, splitting, tokens
 from skein.llm.vectors import current_records
 
 
@@ -62,6 +62,18 @@ def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", F.round("residual", 6).alias("residual"))
 
 
+def _clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean(_current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _clean(spark, sf).select(F.col("id").alias("chunk_id"), F.explode("markup").alias("markup"))
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _clean(spark, sf).select(F.col("id").alias("chunk_id"), F.array_join("markup", ",").alias("markup"), F.col("clean").alias("content"))
+
+
 def _sized_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """``(id, text, limit, overlap)``; a null or unknown config is the one named default."""
     conf = _t(spark, sf, "chunk_configs").select("config_id", "config_name", "max_chunk_size", "overlap_size")
