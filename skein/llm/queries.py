@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, splitting, tokens
+from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, splitting, tokens
 from skein.llm.vectors import current_records
+from skein.session import cut_lineage
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -95,8 +96,6 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, sf: str) -> DataFrame:
-    from skein.session import cut_lineage
-
     sizes = cut_lineage(tokens.count_tokens(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), out="size"))
     return packing.fill(sizes)
 
@@ -109,5 +108,19 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _containers(spark, sf).select(F.col("id").alias("doc_id"), "piece", "start", "size", "container")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), _t(spark, sf, "common_words"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).filter("form <> 'prose'").select(F.col("id").alias("doc_id"), "form")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    j = _judged(spark, sf)
+    rounded = [F.round(c, 4).alias(c) for c in quality.STATISTICS]
+    return j.select(F.col("id").alias("doc_id"), "lang", *rounded, F.array_join("tails", ",").alias("tails"), "form")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
