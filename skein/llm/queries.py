@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, splitting, tokens
+from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, sentences, splitting, tokens
 from skein.llm.vectors import current_records
 from skein.session import cut_lineage
 
@@ -91,6 +91,16 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(_sized_chunks(spark, sf)).select(F.col("id").alias("chunk_id"), "piece", "start", "end", "content")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _current_chunks(spark, sf, "chunk_type").filter("lower(chunk_type) = 'production'")
+    return sentences.split(texts.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))).select(F.col("id").alias("chunk_id"), F.col("start").alias("sent_start"))
+
+
+def p7_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    return sentences.split(texts).select(F.col("id").alias("chunk_id"), "n", "start", "sentence")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(_t(spark, sf, "documents").select("doc_id", "text"))
 
