@@ -134,3 +134,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
+
+
+def oracle_sql() -> dict:
+    return {}
