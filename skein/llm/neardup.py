@@ -117,11 +117,11 @@ def vector_signatures(rows: DataFrame, parts: int, pieces: int, drop: int, step:
 def meeting(signatures: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``: the distinct pairs of records that share a signature.
 
-    Signatures of one record go no further than one pre-aggregated count.
+    Both sides of the join read one shuffle of the signatures.
     """
-    shared = signatures.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-    s = signatures.join(shared, "sig")
-    return s.select("sig", F.col("id").alias("a")).join(s.select("sig", F.col("id").alias("b")), "sig").filter("a < b").select("a", "b").distinct()
+    left = signatures.select("sig", F.col("id").alias("a"))
+    right = signatures.select("sig", F.col("id").alias("b"))
+    return left.join(right, "sig").filter("a < b").select("a", "b").distinct()
 
 
 def jaccard(pairs: DataFrame, width: int) -> DataFrame:
@@ -191,8 +191,10 @@ def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, lea
     met = meeting(text_signatures(reps, width, least_words, parts, pieces, drop))
     full = met.join(reps.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     near = jaccard(full, width).filter(F.col("sim") >= threshold)
-    long = long_enough(reps, least_words)
-    members = members.join(long.withColumnRenamed("id", "rep"), "rep", "left_semi")
+    # Of texts that stand alone only those with enough words have signatures; copies are looked at here.
+    several = members.filter("n > 1").select(F.col("rep").alias("id"))
+    long = long_enough(reps.join(several, "id", "left_semi"), least_words)
+    members = members.filter("n = 1").unionByName(members.filter("n > 1").join(long.withColumnRenamed("id", "rep"), "rep", "left_semi"))
     star = star.join(long.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
     return expand(near.select("a", "b"), members).unionByName(star)
 
