@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.vectors import cross_polytope, fold64, matrix, pair_cosine, rotations, unit
-from skein.session import cut_lineage
+from skein.session import cut_lineage, maybe_broadcast
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,32 +150,44 @@ def jaccard(pairs: DataFrame, width: int) -> DataFrame:
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``(id_a, id_b)`` of all records from pairs of representatives and the members of their groups.
 
-    `members` is ``(rep, ids, n)``. Groups of at most `ALL_PAIRS` copies are
-    expanded to all pairs; a larger group is given as pairs of its smallest id
-    with each other member (``members`` then holds just that id in ``ids``).
+    `members` is ``(rep, ids, n)`` for groups of several copies. Groups of at
+    most `ALL_PAIRS` are expanded to all pairs; a larger group is given as pairs
+    of its smallest id with each other member (``ids`` then holds just that id).
     """
-    two = pairs.join(members.select(F.col("rep").alias("a"), F.col("ids").alias("xs")), "a").join(members.select(F.col("rep").alias("b"), F.col("ids").alias("ys")), "b")
-    across = two.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    of_a, of_b = members.select(F.col("rep").alias("a"), F.col("ids").alias("xs")), members.select(F.col("rep").alias("b"), F.col("ids").alias("ys"))
+    two = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    across = two.select(F.explode(F.coalesce("xs", F.array("a"))).alias("x"), F.coalesce("ys", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))
     within = members.filter(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).filter("x < y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def copies(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Representatives ``(id, by)``, their members ``(rep, ids, n)`` and the star pairs of large groups.
+    """Representatives ``(id, by)``, members ``(rep, ids, n)`` of groups of copies and the star pairs of large ones.
 
     Groups are formed by two 64-bit hashes of the content; counts and the
     smallest id are pre-aggregated. Lists are collected only of groups within
-    `ALL_PAIRS`, so none grows without bound.
+    `ALL_PAIRS`, so none grows without bound. The content moves only if there are
+    too many copies to ship the list of their ids.
     """
-    keyed = rows.select("id", by, F.xxhash64(by).alias("k1"), F.xxhash64(F.lit(1), by).alias("k2"))
-    size = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    several = size.filter("n > 1")
-    with_size = keyed.select("id", "k1", "k2").join(several, ["k1", "k2"])
-    small = with_size.filter(F.col("n") <= ALL_PAIRS).groupBy("rep").agg(F.collect_list("id").alias("ids"), F.max("n").alias("n"))
-    single = size.filter((F.col("n") == 1) | (F.col("n") > ALL_PAIRS)).select("rep", F.array("rep").alias("ids"), "n")
-    star = with_size.filter((F.col("n") > ALL_PAIRS) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    reps = keyed.join(size.select(F.col("rep").alias("id")), "id", "left_semi").select("id", by)
-    return reps, small.unionByName(single), star
+    stored = cut_lineage(rows.select("id", by, F.xxhash64(by).alias("k1"), F.xxhash64(F.lit(1), by).alias("k2")))
+    several = stored.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
+    grouped = cut_lineage(stored.select("id", "k1", "k2").join(several, ["k1", "k2"]).select("id", "rep", "n"))
+    members = grouped.filter(F.col("n") <= ALL_PAIRS).groupBy("rep").agg(F.collect_list("id").alias("ids"), F.max("n").alias("n"))
+    large = grouped.filter(F.col("n") > ALL_PAIRS)
+    members = members.unionByName(large.filter("id = rep").select("rep", F.array("rep").alias("ids"), "n"))
+    star = large.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    again = grouped.filter("id <> rep").select("id")
+    reps = stored.select("id", by).join(maybe_broadcast(again, again.count()), "id", "left_anti")
+    return reps, members, star
+
+
+def with_content(pairs: DataFrame, reps: DataFrame, by: str, names: tuple[str, str]) -> DataFrame:
+    """Pairs ``(a, b)`` with the content of both; only records that occur in a pair move."""
+    pairs = cut_lineage(pairs)
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    few = cut_lineage(reps.join(maybe_broadcast(met, 2 * pairs.count()), "id", "left_semi"))
+    left = pairs.join(few.select(F.col("id").alias("a"), F.col(by).alias(names[0])), "a")
+    return left.join(few.select(F.col("id").alias("b"), F.col(by).alias(names[1])), "b")
 
 
 def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 45, parts: int = 12, pieces: int = 4, drop: int = 1) -> DataFrame:
@@ -187,14 +199,12 @@ def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, lea
     0.9996. Texts are compared whole.
     """
     reps, members, star = copies(chunks.filter("id IS NOT NULL AND text IS NOT NULL"), "text")
-    reps = cut_lineage(reps)
     met = meeting(text_signatures(reps, width, least_words, parts, pieces, drop))
-    full = met.join(reps.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    near = jaccard(full, width).filter(F.col("sim") >= threshold)
-    # Of texts that stand alone only those with enough words have signatures; copies are looked at here.
-    several = members.filter("n > 1").select(F.col("rep").alias("id"))
-    long = long_enough(reps.join(several, "id", "left_semi"), least_words)
-    members = members.filter("n = 1").unionByName(members.filter("n > 1").join(long.withColumnRenamed("id", "rep"), "rep", "left_semi"))
+    near = jaccard(with_content(met, reps, "text", ("ta", "tb")), width).filter(F.col("sim") >= threshold)
+    # A text that stands alone without enough words has no signature; copies are looked at here.
+    several = members.select(F.col("rep").alias("id"))
+    long = cut_lineage(long_enough(reps.join(several, "id", "left_semi"), least_words))
+    members = members.join(long.withColumnRenamed("id", "rep"), "rep", "left_semi")
     star = star.join(long.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
     return expand(near.select("a", "b"), members).unionByName(star)
 
@@ -219,8 +229,6 @@ def similar_vectors(records: DataFrame, threshold: float = 0.99, parts: int = 5,
     at 0.995 with 0.999.
     """
     reps, members, star = copies(records, "vector")
-    reps = cut_lineage(reps)
     met = meeting(vector_signatures(reps, parts, pieces, drop, step))
-    full = met.join(reps.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(reps.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    near = pair_cosine(full).filter(F.col("sim") >= threshold)
+    near = pair_cosine(with_content(met, reps, "vector", ("va", "vb"))).filter(F.col("sim") >= threshold)
     return expand(near.select("a", "b"), members).unionByName(star)
