@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and holds at most so many rows.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 200_000
 
 
 def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
