@@ -71,8 +71,11 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def text_signatures(texts: DataFrame, width: int, least_words: int, parts: int, pieces: int, drop: int) -> DataFrame:
-    """``(id, sig)`` of texts with at least `least_words` words."""
+def text_features(texts: DataFrame, width: int, least_words: int, parts: int, pieces: int) -> DataFrame:
+    """``(id, features, sketch)`` of texts with at least `least_words` words: one shingle minimum a piece.
+
+    ``sketch`` holds one byte of each minimum, to estimate a similarity from.
+    """
     rng = np.random.default_rng(11)
     m = parts * pieces
     mul = rng.integers(1, 2**63, m, dtype=np.uint64) | np.uint64(1)
@@ -83,21 +86,46 @@ def text_signatures(texts: DataFrame, width: int, least_words: int, parts: int,
         for b in batches:
             ids, feats = [], []
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                w = word_hashes(t, known)
-                if len(w) < max(least_words, width):
+                # A word and what divides it from the next take two characters or more.
+                if len(t) < 2 * least_words - 1 or len(w := word_hashes(t, known)) < max(least_words, width):
                     continue
                 s = shingles(w, width)
                 low = np.full(m, np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(s), 4096):  # texts of any length, in stretches
                     low = np.minimum(low, (((s[k : k + 4096, None] * mul) + add) >> np.uint64(32)).min(axis=0))
                 ids.append(i)
-                feats.append(low)
-            if ids:
-                names = pa.array(ids, pa.string())
-                for sig in enumerate_signatures(np.stack(feats), parts, pieces, drop, 1):
-                    yield pa.RecordBatch.from_arrays([names, pa.array(sig)], names=["id", "sig"])
+                feats.append(low.astype("<u4"))
+            small = [((f ^ (f >> np.uint32(11))) & np.uint32(255)).astype(np.uint8).tobytes() for f in feats]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([f.tobytes() for f in feats], pa.binary()), pa.array(small, pa.binary())], names=["id", "features", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id string, features binary, sketch binary")
+
+
+def text_signatures(features: DataFrame, parts: int, pieces: int, drop: int) -> DataFrame:
+    """``(id, sig)`` from `text_features`."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                f = np.frombuffer(b"".join(b.column("features").to_pylist()), "<u4").reshape(b.num_rows, -1)
+                for sig in enumerate_signatures(f, parts, pieces, drop, 1):
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sig)], names=["id", "sig"])
+
+    return features.select("id", "features").mapInArrow(run, "id string, sig bigint")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs whose sketches agree in at least `least` places."""
+    s = sketches.select("id", "sketch")
+    full = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return texts.select("id", "text").mapInArrow(run, "id string, sig bigint")
+    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
 
 
 def vector_signatures(rows: DataFrame, parts: int, pieces: int, drop: int, step: int) -> DataFrame:
@@ -199,7 +227,10 @@ def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, lea
     0.9996. Texts are compared whole.
     """
     reps, members, star = copies(chunks.filter("id IS NOT NULL AND text IS NOT NULL"), "text")
-    met = meeting(text_signatures(reps, width, least_words, parts, pieces, drop))
+    features = cut_lineage(text_features(reps, width, least_words, parts, pieces))
+    # Pairs meet by few elements; before texts move, all of them are compared. Of a pair at the threshold
+    # half agree; little more than half of those, the least asked for, lies three standard deviations below.
+    met = likely(meeting(text_signatures(features, parts, pieces, drop)), features, int(parts * pieces * threshold * 0.55))
     near = jaccard(with_content(met, reps, "text", ("ta", "tb")), width).filter(F.col("sim") >= threshold)
     # A text that stands alone without enough words has no signature; copies are looked at here.
     several = members.select(F.col("rep").alias("id"))
