@@ -198,11 +198,8 @@ class HashBuckets:
     def keys(self, v: str = "vector") -> F.Column:
         out = []
         for f, w in enumerate(self.weights):
-            bits = [F.expr(f"CASE WHEN element_at({v}, {i + 1}) * {float(w[i])!r}D > 0 THEN shiftleft(1L, {i % 64}) ELSE 0L END") for i in range(len(w))]
-            key = bits[0]
-            for b in bits[1:]:
-                key = key.bitwiseOR(b)
-            out.append(F.struct(F.lit(f).alias("f"), key.alias("key")))
+            signs = f"transform(zip_with({v}, array({', '.join(f'{float(x)!r}D' for x in w)}), (x, w) -> x * w), (p, i) -> if(p > 0, shiftleft(1L, i % 64), 0L))"
+            out.append(F.struct(F.lit(f).alias("f"), F.expr(f"aggregate({signs}, 0L, (a, b) -> a | b)").alias("key")))
         return F.array(*out)
 
     def query_keys(self, q) -> list[tuple[int, int]]:

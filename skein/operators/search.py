@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.errors import DimensionMismatch, InvalidVector
 from skein.functions import vectors as V
@@ -98,13 +99,13 @@ def batch_topk(docs: DataFrame, queries: DataFrame, k: int = 10, kind: str = "co
     parts = []
     for n in range(blocks):
         block = queries.select("query_id", "vector").filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas().dropna()
-        parts.append(docs.select("id", "vector").mapInArrow(_pass(block, k, kind), f"query_id {qid}, id {ids}, score double"))
+        parts.append(docs.select("id", "vector").mapInArrow(_pass(block, k, kind, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {qid}, id {ids}, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     merged = functools.reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
     return merged.filter(F.col("rank") <= k)
 
 
-def _pass(block, k: int, kind: str):
+def _pass(block, k: int, kind: str, q_type: pa.DataType):
     size = block["vector"].map(len) if len(block) else []
     groups = {int(d): (block["query_id"][size == d].tolist(), np.stack(block["vector"][size == d].to_numpy()).astype(np.float64)) for d in sorted(set(size))}
 
@@ -133,7 +134,7 @@ def _pass(block, k: int, kind: str):
                     held[d, j] = (name, sorted(new + held.get((d, j), (name, []))[1])[:k])
         if held:
             rows = [(name, i, -s) for name, best in held.values() for s, i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], ids_type), pa.array([float(r[2]) for r in rows])], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], q_type), pa.array([r[1] for r in rows], ids_type), pa.array([float(r[2]) for r in rows])], names=["query_id", "id", "score"])
 
     return run
 

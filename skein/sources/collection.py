@@ -155,7 +155,7 @@ class Collection:
 
 def stats(docs: DataFrame) -> DataFrame:
     """One row: number of vectors, dimension and estimated bytes."""
-    size = F.octet_length("id") + 4 * F.size("vector") + 16 * F.greatest(F.lit(0), F.size("tags"))
+    size = F.octet_length("id") + 4 * F.coalesce(F.size("vector"), F.lit(0)) + 16 * F.greatest(F.lit(0), F.size("tags"))
     return docs.agg(F.count("*").alias("total_vectors"), F.max("dimension").alias("dimension"), F.sum(size).alias("memory_usage"))
 
 
