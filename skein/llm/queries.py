@@ -136,5 +136,31 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_CURRENT = """cur AS (SELECT id, list_transform(v, lambda x: x::DOUBLE) AS v FROM (SELECT id, arg_max(coalesce(vector, []), updated_at) AS v FROM vector_docs WHERE id IS NOT NULL GROUP BY id)
+ WHERE len(v) = 128 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM cur)"""
+_CHUNKS = "ch AS (SELECT chunk_id, arg_max(coalesce(content, ''), ingested_at) AS content, arg_max(coalesce(config_id, 0), ingested_at) AS config_id FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)"
+_TERMS = f"""{_CHUNKS}, tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z]{{6,}}')) AS term FROM ch) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, sum(tf) AS col_n FROM tf GROUP BY term)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    p1 = f"""WITH {_CURRENT}, nb AS (SELECT a.id, list(b.id ORDER BY b.id) AS near FROM unit a, unit b WHERE a.id = b.id OR list_dot_product(a.u, b.u) >= 0.65 GROUP BY a.id),
+k AS (SELECT near[1] AS cluster_id, id, len(near) AS n, count(*) OVER (PARTITION BY near) AS alike FROM nb)
+SELECT cluster_id, id FROM k WHERE n >= 5 AND alike = n"""
+    p2 = f"""WITH {_CURRENT}, {_CHUNKS}, w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\\pL\\pM\\p{{Nd}}]+') AS w FROM ch),
+s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS g FROM w WHERE len(w) >= 45),
+c AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+j AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT x AS id_a, y AS id_b FROM j JOIN c cx ON cx.chunk_id = x JOIN c cy ON cy.chunk_id = y WHERE 2 * k >= cx.n + cy.n - k
+UNION ALL SELECT a.id, b.id FROM unit a JOIN unit b ON a.id < b.id AND list_dot_product(a.u, b.u) >= 0.99"""
+    p3 = f"""WITH {_CURRENT}, p AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.u, b.u) AS s FROM unit a, unit b WHERE a.id <> b.id AND list_dot_product(a.u, b.u) >= 0.95),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM p)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 5"""
+    p4 = f"WITH {_TERMS} SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5"
+    scores = f"""WITH {_TERMS}, rn AS (SELECT chunk_id, sum(tf) AS row_n FROM tf GROUP BY chunk_id), n AS (SELECT sum(tf) AS n FROM tf),
+e AS (SELECT chunk_id, term, tf, df, row_n, col_n, n, row_n::DOUBLE * col_n / n AS e FROM tf JOIN df USING (term) JOIN rn USING (chunk_id), n)
+SELECT chunk_id, term, tf, df, round((tf - e) / sqrt(e * (1 - row_n::DOUBLE / n) * (1 - col_n::DOUBLE / n)), 6) AS residual FROM e"""
+    p6 = f"""WITH {_CHUNKS}, m AS (SELECT chunk_id, content, coalesce(c.max_chunk_size, d.max_chunk_size) AS m FROM ch LEFT JOIN chunk_configs c USING (config_id), (SELECT max_chunk_size FROM chunk_configs WHERE config_name = 'default') d)
+SELECT chunk_id, (CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[\\s\\x{{0b}}\\x{{85}}\\pZ.!?;。！？；।؟]'), lambda x: length(x))) > m THEN 1 ELSE 0 END)::BIGINT AS forced FROM m WHERE length(content) > m"""
+    return {"p1_found": p1, "p2_found": p2, "p3_found": p3, "p4_found": p4, "p4_scores": scores, "p6_found": p6}
