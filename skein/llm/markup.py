@@ -105,12 +105,19 @@ def _has_html(text: str) -> bool:
     return False
 
 
+#: Signs of which a text must hold one for a pattern to be tried, in the patterns' order.
+_MD_SIGNS = (("#",), ("---", "==="), ("**", "__"), ("*", "_"), ("~~",), ("](", "][", "]:", "<http"), (">",), ("--",), ("[^",))
+_WIKI_SIGNS = (("{{",), ("[[",), ("==",), ("''",), ("{|", "|}", "|-"), ("<",))
+
+
+def _any(patterns, signs, text: str) -> bool:
+    return any(p.search(text) for p, needed in zip(patterns, signs) if any(x in text for x in needed))
+
+
 def detect(text: str | None) -> list[str]:
     """The markup languages of which `text` holds a construct, in alphabetical order."""
     if not text or not regex.search(r"[<&#*_~`\[>|{'=\\$-]", text):
         return []
-    if is_code(_FENCE.sub("", text)) and not _FENCE.search(text) and not regex.search(r"</[a-zA-Z]", text):
-        return []
     found = []
     bare = text
     markdown = False
@@ -128,13 +135,16 @@ def detect(text: str | None) -> list[str]:
     if latex:
         found.append("latex")
     # Formulas and LaTeX verbatim hold signs that mean nothing elsewhere.
-    rest = _DOLLAR.sub(lambda m: "x" if _is_math(m.group(1)) else m.group(0), plain)
+    rest = _DOLLAR.sub(lambda m: "x" if _is_math(m.group(1)) else m.group(0), plain) if "$" in plain else plain
     rest = regex.sub(r"(?s)\\begin\{(verbatim|lstlisting|equation|align|tabular|math)\*?\}.*?\\end\{\1\*?\}|\\\[.*?\\\]|\\\(.*?\\\)", " ", rest) if latex else rest
     rest = regex.sub(r"https?://[^\s)\]>|]+", "u", rest) if "://" in rest else rest
-    if markdown or any(p.search(rest) for p in _MD):
+    if markdown or _any(_MD, _MD_SIGNS, rest):
         found.append("markdown")
-    if any(p.search(rest) for p in _WIKI):
+    if _any(_WIKI, _WIKI_SIGNS, rest):
         found.append("wiki")
+    # Program code and its comments hold signs that look like markup.
+    if found and "</" not in text and is_code(text) and not _FENCE.search(text):
+        return []
     return found
 
 
