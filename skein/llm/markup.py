@@ -167,20 +167,25 @@ class _Tree(HTMLParser):
         self.root = ["", {}, []]
         self.open = [self.root]
 
-    def close_to(self, names: set[str], stop: set[str]) -> None:
+    def close_to(self, names: set[str], stop: set[str], outermost: bool = False) -> None:
+        """End the innermost open element of these names, or with `outermost` all within the nearest of `stop`."""
+        place = 0
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in names:
-                del self.open[k:]
-                return
             if self.open[k][0] in stop:
-                return
+                break
+            if self.open[k][0] in names:
+                place = k
+                if not outermost:
+                    break
+        if place:
+            del self.open[place:]
 
     def handle_starttag(self, tag, attrs):
         if tag not in BLOCK and tag not in INLINE:
             self.handle_data(self.get_starttag_text() or "")
             return
         if tag in CLOSED_BY:
-            self.close_to(CLOSED_BY[tag], {"ul", "ol", "dl", "table", "select"})
+            self.close_to(CLOSED_BY[tag], {"ul", "ol", "dl", "table", "select"}, True)
         if tag in ENDS_P:
             self.close_to({"p"}, BLOCK - {"p"})
         node = [tag, dict(attrs), []]
