@@ -9,12 +9,15 @@ similar pivot. Two stages find the pivots without comparing all pairs:
   resulting pivots are shipped and absorb similar records everywhere. Any
   cluster with a noticeable share of the collection is gone after a round.
 * *Bucket stage.* What is left is bucketed by cross-polytope hashes in several
-  tables. In each bucket the pivots are again those of the hash order, every
-  record proposes the earliest one and proposals are followed to their root by
-  pointer jumping. Buckets beyond `block` rows are split by a salt.
-
-Then every record is reassigned to the closest pivot and medoids are computed
-from the clusters' mean directions.
+  tables, as many as five records at the threshold need to meet at all. In each
+  bucket the pivots are again those of the hash order and every record proposes
+  the earliest one; those that propose none are roots. Buckets beyond `block`
+  rows are split by a salt.
+* *Settling.* As members of a cluster may have met in parts or not at all, all
+  that is left is compared exactly with the roots, in blocks, until every
+  record belongs to the first pivot that is similar to it.
+
+Medoids are computed from the clusters' mean directions.
 """
 
 from __future__ import annotations
@@ -68,11 +71,25 @@ def assign(rows: DataFrame, ids: list[str], pivots: np.ndarray, threshold: float
     return rows.select("id", "h", "vector").mapInArrow(run, EMPTY_ASSIGNED)
 
 
-def bucket_pivots(rest: DataFrame, threshold: float, tables: int, block: int) -> DataFrame:
-    """``(id, pivot)`` of records that prefix rounds left over."""
-    n = rest.count()
-    # As many values a key as give the leftover about one row a bucket by chance.
-    values = max(1, math.ceil(math.log(max(2, n)) / math.log(2 * 128)))
+@functools.cache
+def tables_needed(threshold: float, values: int, least: int = 5, miss: float = 1e-6, trials: int = 4000) -> int:
+    """Tables in which `least` records, every two at the threshold, all miss each other with probability `miss`.
+
+    The probability of a meeting in one table is counted on random groups.
+    """
+    rng = np.random.default_rng(11)
+    c, e = unit(rng.standard_normal((trials, 128)), np.float64), unit(rng.standard_normal((trials * least, 128)), np.float64)
+    x = unit(math.sqrt(threshold) * np.repeat(c, least, axis=0) + math.sqrt(1 - threshold) * e)
+    k = np.sort(fold64(cross_polytope(x, rotations(13, values), 128), 0).reshape(trials, least), axis=1)
+    meet = float((k[:, 1:] == k[:, :-1]).any(axis=1).mean())
+    return math.ceil(math.log(miss) / math.log1p(-min(max(meet, 1 / trials), 1 - 1e-9)))
+
+
+def bucket_roots(rest: DataFrame, n: int, threshold: float, tables: int | None, block: int) -> DataFrame:
+    """``(id)`` of records that are the earliest of those they meet; every group of records that meet has one."""
+    # As few values a key as keep a bucket within half a block by chance: pairs at the threshold meet seldom in more.
+    values = max(1, math.ceil(math.log(max(2, 2 * n / block)) / math.log(2 * 128)))
+    tables = tables or tables_needed(threshold, values)
     rot = rotations(7, tables * values)
 
     def keys(batches):
@@ -96,21 +113,69 @@ def bucket_pivots(rest: DataFrame, threshold: float, tables: int, block: int) ->
         while len(left) > 1:
             s = u[left] @ u[left[0]] >= threshold
             s[0] = True
-            out += [(ids[i], ids[left[0]], int(table.column("h")[int(left[0])].as_py())) for i in left[s] if i != left[0]]
+            out += [(ids[i], ids[left[0]]) for i in left[s] if i != left[0]]
             left = left[~s]
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["id", "pivot", "ph"])
+        return pa.table([pa.array([o[k] for o in out], pa.string()) for k in range(2)], names=["id", "pivot"])
+
+    # A proposal always points to an earlier record: the earliest one of those that meet proposes nothing.
+    links = cut_lineage(keyed.groupBy("k", "salt").applyInArrow(propose, "id string, pivot string").distinct())
+    return links.select(F.col("pivot").alias("id")).distinct().join(links.select("id"), "id", "left_anti")
+
+
+def earliest(rows: DataFrame, live: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """``(id, pivot)``: the first record of `live` in hash order that is similar, found by comparing all with all.
+
+    Each pass ships one block of `live` and writes ids only; a record that is
+    similar to none gives no row.
+    """
+    passes = max(1, math.ceil(n / block))
+
+    def first(ids, h, u):
+        def run(batches):
+            for b in batches:
+                if not (b.num_rows and len(ids)):
+                    continue
+                v = unit(matrix(b))
+                for i in range(0, len(v), 1024):
+                    s = v[i : i + 1024] @ u.T >= threshold
+                    hit = np.nonzero(s.any(axis=1))[0]
+                    at = s[hit].argmax(axis=1)  # ids are in hash order
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i + hit)), pa.array(h[at]), pa.array(ids[at], pa.string())], names=["id", "ph", "pivot"])
 
-    links = keyed.groupBy("k", "salt").applyInArrow(propose, "id string, pivot string, ph bigint")
-    to = cut_lineage(links.groupBy("id").agg(F.min(F.struct("ph", "pivot")).alias("p")).select("id", F.col("p.pivot").alias("pivot")))
-    # A proposal always points to an earlier hash, so jumping ends at a record that proposes nothing.
-    for _ in range(6):
-        up = to.select(F.col("id").alias("pivot"), F.col("pivot").alias("root"))
-        to = to.join(up, "pivot", "left").select("id", F.coalesce("root", "pivot").alias("pivot"))
-    roots = to.select(F.col("pivot").alias("id")).distinct().withColumn("pivot", F.col("id"))
-    return to.unionByName(roots).distinct()
+        return run
+
+    found = []
+    for p in range(passes):
+        part = live.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).select("h", "id", "vector").toPandas().sort_values(["h", "id"])
+        u = unit(np.stack(part["vector"].to_numpy())) if len(part) else np.zeros((0, 128), np.float32)
+        found.append(rows.select("id", "vector").mapInArrow(first(part["id"].to_numpy(object), part["h"].to_numpy(np.int64), u), "id string, ph bigint, pivot string"))
+    return functools.reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min(F.struct("ph", "pivot")).alias("p")).select("id", "p.pivot")
 
 
-def pivot_clusters(records: DataFrame, threshold: float = 0.65, prefix: int = 1024, rounds: int = 2, tables: int = 24, block: int = 2048) -> DataFrame:
+def settle(rest: DataFrame, roots: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """``(id, pivot)`` of the records in `rest` with company, by exact comparison with the roots.
+
+    A root whose earliest similar root is itself is a pivot and takes every
+    record that points to it, other roots too. Records that pointed to a root
+    which was taken itself are settled among each other in the next round, until none is
+    left. A set of mutually similar records without similar ones outside that has a
+    root is whole after the first round.
+    """
+    left, live, out = rest.select("id", "h", "vector"), cut_lineage(rest.join(roots, "id", "left_semi").select("id", "h", "vector")), []
+    while n := live.count():
+        to = cut_lineage(earliest(left, live, n, threshold, block))
+        pivots = to.filter("id = pivot").select("pivot")
+        out.append(to.join(pivots, "pivot", "left_semi").select("id", "pivot"))
+        late = to.join(pivots, "pivot", "left_anti").select("id")
+        left = live = cut_lineage(left.join(late, "id", "left_semi"))
+    if not out:
+        return rest.select("id", F.col("id").alias("pivot")).limit(0)
+    found = functools.reduce(DataFrame.unionByName, out)
+    company = found.filter("id <> pivot").select("pivot").distinct()
+    return found.join(company, "pivot", "left_semi").select("id", "pivot")
+
+
+def pivot_clusters(records: DataFrame, threshold: float = 0.65, prefix: int = 1024, rounds: int = 2, tables: int | None = None, block: int = 2048) -> DataFrame:
     """``(id, vector, pivot)`` for every record; a record without company has a null pivot.
 
     `records` has unique ids and usable vectors, as `current_records` gives.
@@ -134,7 +199,8 @@ def pivot_clusters(records: DataFrame, threshold: float = 0.65, prefix: int = 10
     alone = done.filter("pivot IS NOT NULL").groupBy("pivot").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("pivot").alias("id"))
     lone = done.filter("pivot IS NOT NULL AND id = pivot").join(F.broadcast(alone), "id", "left_semi")
     rest = cut_lineage(done.filter("pivot IS NULL").unionByName(lone).select("id", "h", "vector"))
-    small = rest.join(cut_lineage(bucket_pivots(rest, threshold, tables, block)), "id", "left").select("id", "vector", "pivot")
+    roots = bucket_roots(rest, rest.count(), threshold, tables, block)
+    small = rest.join(cut_lineage(settle(rest, roots, threshold)), "id", "left").select("id", "vector", "pivot")
     # At most `prefix * rounds` pivots.
     main = done.filter("pivot IS NOT NULL").join(F.broadcast(alone.withColumnRenamed("id", "pivot")), "pivot", "left_anti").select("id", "vector", "pivot")
     return main.unionByName(small)

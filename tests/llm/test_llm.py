@@ -51,6 +51,21 @@ def test_clusters(spark, vectors):
     assert clusters.mutual_clusters(rec.limit(0)).count() == 0
 
 
+def test_small_clusters_stay_whole(spark):
+    rng = np.random.default_rng(8)
+    c = np.repeat(unit(rng.standard_normal((700, 128)), np.float64), 6, axis=0)
+    x = np.sqrt(0.72) * c + np.sqrt(0.28) * unit(rng.standard_normal(c.shape), np.float64)
+    u = unit(x, np.float64)
+    near = u @ u.T >= 0.65
+    want = {(f"v{6 * g:04}", f"v{i:04}") for g in range(700) for i in range(6 * g, 6 * g + 6) if near[i].sum() == 6 and near[6 * g : 6 * g + 6].sum() == 36}
+    # Hardly any record is taken by the prefix rounds, so the buckets hold what is left.
+    got = clusters.pivot_clusters(current_records(records(spark, x)), prefix=16)
+    members = {}
+    for r in got.collect():
+        members.setdefault(r.pivot, set()).add(r.id)
+    assert {(min(m), i) for m in members.values() for i in m if len(m) == 6} >= want and len(want) > 2000
+
+
 def test_nearest(spark, vectors):
     rec = current_records(records(spark, vectors))
     u = unit(vectors, np.float64)
