@@ -3,9 +3,10 @@
 One pass gives the statistics of each text. Per language a mergeable quantile
 sketch of each statistic (`approx_percentile`, combined within tasks first) is
 built over all documents; a value becomes a robust z-score by the sketch's median
-and quartiles. A document is flagged if it lies in a tail of at least one
-statistic, and of flagged documents the statistics tell the form: prose, list,
-table or junk.
+and quartiles, and the tails tell in which statistics it stands out. The form
+(prose, list, table or junk) is told from the statistics of every document, in a
+tail or not: where one text is copied so often that it is most of its language,
+nothing of it lies in a tail.
 """
 
 from __future__ import annotations
@@ -254,8 +255,7 @@ def judge(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in COLUMNS}
-            flagged = b.column("tails").to_pylist()
-            forms = [form({c: cols[c][k] for c in COLUMNS}) if flagged[k] else "prose" for k in range(b.num_rows)]
+            forms = [form({c: cols[c][k] for c in COLUMNS}) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forms, pa.string())], names=[*b.schema.names, "form"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in scored.dtypes)

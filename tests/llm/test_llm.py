@@ -216,3 +216,13 @@ def test_quality(spark):
     got = {r.id: r.form for r in quality.judge(df, common).collect()}
     assert got == {1: "prose", 2: "list", 3: "table", 4: "junk", 5: "junk", 8: "prose", 9: "junk"}
     assert quality.judge(df.limit(0), common).count() == 0
+
+
+def test_quality_of_a_majority(spark):
+    listed = "\n".join(f"- item {w}" for w in ("red", "blue", "green", "grey", "black"))
+    prose = "The vector was stored by the team, and it was read again. Some of the rows are old.\n"
+    rows = [(i, listed, "de") for i in range(9)] + [(9, prose, "de"), (10, "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", "fr")]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    common = spark.createDataFrame([(g, w) for g in ("en", "de", "fr") for w in "the of and a to was by it are some".split()], "lang string, word string")
+    got = {r.id: r.form for r in quality.judge(df, common).collect()}
+    assert got == {**{i: "list" for i in range(9)}, 9: "prose", 10: "table"}
