@@ -82,6 +82,22 @@ def test_nearest(spark, vectors):
     assert neighbours.nearest(rec.limit(0), 3).count() == 0
 
 
+def test_nearest_with_many_lists(spark):
+    rng = np.random.default_rng(12)
+    c = np.repeat(rng.standard_normal((400, 128)), 10, axis=0)
+    x = np.concatenate([c + 1.2 * rng.standard_normal(c.shape), rng.standard_normal((1000, 128))])
+    u = unit(x, np.float64)
+    asks = np.arange(0, len(u), 25)
+    s = u[asks] @ u.T
+    s[np.arange(len(asks)), asks] = -2
+    want = {(f"v{i:04}", f"v{j:04}") for i, near in zip(asks, np.argsort(-s, axis=1)[:, :5]) for j in near}
+    ask = F.substring("id", 2, 9).cast("int") % 25 == 0
+    # As many lists to a query's one as a large collection has.
+    got = neighbours.nearest(current_records(records(spark, x)), 5, queries=ask, cells=256, spread=4)
+    got = [(r.id, r.neighbour) for r in got.collect()]
+    assert len(got) == len(set(got)) == 5 * len(asks) and len(want & set(got)) >= 0.7 * len(want)
+
+
 def test_near_duplicates(spark, vectors):
     got = {(r.id_a, r.id_b) for r in neardup.similar_vectors(current_records(records(spark, vectors))).collect()}
     assert got == {("v0000", "v0001"), ("v0000", "v0002"), ("v0001", "v0002")}
