@@ -55,7 +55,7 @@ def _term_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     scored = distinctive.residuals(_term_counts(spark, sf), only=F.col("tf") >= 3)
-    return scored.filter("df BETWEEN 2 AND 5 AND residual > 0").select(F.col("id").alias("chunk_id"), "term")
+    return scored.filter("df BETWEEN 2 AND 5").select(F.col("id").alias("chunk_id"), "term")
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:

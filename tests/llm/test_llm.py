@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, sentences, splitting, tokens
+from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, queries, sentences, splitting, tokens
 from skein.llm.vectors import current_records, unit
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -123,6 +123,13 @@ def test_distinctive(spark):
     assert distinctive.residuals(distinctive.term_counts(df.limit(0))).count() == 0
 
 
+def test_terms_of_a_long_chunk(spark, tmp_path):
+    rows = [("long", "vector " * 3 + "filler " * 100, 1), ("short", "vector " * 6, 1)]
+    spark.createDataFrame(rows, "chunk_id string, content string, ingested_at int").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert got == {("long", "vector"), ("short", "vector")}
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
