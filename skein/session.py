@@ -57,7 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES[-1].append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = (df.sparkSession, path)
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a frame that `cut_lineage` gave, when nothing will read it again."""
+    if (entry := getattr(df, "_table", None)) is not None:
+        for tables in _TABLES:
+            if entry in tables:
+                tables.remove(entry)
+        _delete([entry])
 
 
 def _delete(tables: list[tuple[SparkSession, str]]) -> None:
