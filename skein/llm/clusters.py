@@ -17,7 +17,10 @@ similar pivot. Two stages find the pivots without comparing all pairs:
   that is left is compared exactly with the roots, in blocks, until every
   record belongs to the first pivot that is similar to it.
 
-Medoids are computed from the clusters' mean directions.
+* *Reassignment.* Mean directions are summed, every member goes to the closest
+  one, and the medoids are computed anew: the sum of a record's cosines with all
+  members is its inner product with the sum of their unit vectors, so the medoid
+  is the member of greatest cosine to the mean direction.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.vectors import cross_polytope, fold64, hash_head, matrix, rotations, unit
-from skein.session import cut_lineage
+from skein.session import BROADCAST_BYTES, cut_lineage, drop_table, maybe_broadcast
 
+#: Mean directions shipped at once.
+CENTERS = BROADCAST_BYTES // 1024
 EMPTY_ASSIGNED = "id string, h bigint, vector array<float>, pivot string, sim double"
 
 
@@ -195,6 +200,7 @@ def pivot_clusters(records: DataFrame, threshold: float = 0.65, prefix: int = 10
         ids += [head["id"][i] for i in new]
         pivots = np.concatenate([pivots, u[new]])
     done = cut_lineage(assign(rows, ids, pivots, threshold))
+    drop_table(rows)
     # A prefix pivot that absorbed nothing takes part in the bucket stage like what is left.
     alone = done.filter("pivot IS NOT NULL").groupBy("pivot").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("pivot").alias("id"))
     lone = done.filter("pivot IS NOT NULL AND id = pivot").join(F.broadcast(alone), "id", "left_semi")
@@ -242,23 +248,58 @@ def center_sums(members: DataFrame) -> DataFrame:
     return partial.groupBy("pivot").applyInArrow(total, "pivot string, n bigint, center array<double>")
 
 
-def mutual_clusters(records: DataFrame, threshold: float = 0.65, least: int = 5, block: int = 4096, band: float = 0.25) -> DataFrame:
+def center_blocks(centers: DataFrame, n: int):
+    """Pivots, mean directions and least typicalities of at most `CENTERS` clusters at a time."""
+    passes = max(1, math.ceil(n / CENTERS))
+    for p in range(passes):
+        part = centers.filter(F.pmod(F.xxhash64("pivot"), F.lit(passes)) == p).toPandas()
+        c = np.stack(part["center"].to_numpy()).astype(np.float32) if len(part) else np.zeros((0, 128), np.float32)
+        yield part["pivot"].to_numpy(object), c, part["least"].to_numpy(float) if "least" in part else None
+
+
+def reassign(labelled: DataFrame, centers: DataFrame, n: int) -> DataFrame:
+    """`labelled` with the pivot of the closest mean direction for every record of these clusters; others stay."""
+    known = centers.select("pivot", F.lit(-1.0).alias("best"))
+    out = labelled.join(maybe_broadcast(known, n), "pivot", "left").select("id", "vector", "pivot", "best")
+    for names, c, _ in center_blocks(centers, n):
+        box = labelled.sparkSession.sparkContext.broadcast((names, c))
+
+        def run(batches, box=box):
+            names, c = box.value
+            for b in batches:
+                if b.num_rows:
+                    pivot, best = np.array(b.column("pivot").to_pylist(), dtype=object), b.column("best").to_numpy(zero_copy_only=False)
+                    if len(names):
+                        s = unit(matrix(b)) @ c.T
+                        at = s.argmax(axis=1)
+                        new = s[np.arange(len(s)), at].astype(np.float64)
+                        closer = new > best  # never for the nulls of other records
+                        pivot, best = np.where(closer, names[at], pivot), np.where(closer, new, best)
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(pivot, pa.string()), pa.array(best, pa.float64(), from_pandas=True)], names=["id", "vector", "pivot", "best"])
+
+        before, out = out, cut_lineage(out.mapInArrow(run, "id string, vector array<float>, pivot string, best double"))
+        drop_table(before)
+    return out.select("id", "vector", "pivot")
+
+
+def mutual_clusters(records: DataFrame, threshold: float = 0.65, least: int = 5, block: int = 4096) -> DataFrame:
     """``(cluster_id, id, n, typicality)`` of clusters in which every two are similar and nothing outside is.
 
-    The pivots' clusters of at least `least` records are checked exactly: the
-    members in blocks against each other, and every record of the collection
-    whose cosine to a cluster's mean direction is within `band` of the
-    threshold's image there against all members of that cluster. A cluster
-    that fails is left out. ``typicality`` is the cosine to the mean
-    direction; ``cluster_id`` is the smallest id. Pairs that are compared are
-    never written out.
+    The clusters of at least `least` records are checked: the members exactly, in
+    blocks against each other, and against all members those records outside
+    that come near enough to the mean direction (see `outsiders`). A cluster that
+    fails is left out. ``typicality`` is the cosine to the mean direction;
+    ``cluster_id`` is the smallest id. Pairs that are compared are never written
+    out. An empty table gives no row.
     """
     labelled = pivot_clusters(records, threshold)
-    centers = center_sums(labelled.filter("pivot IS NOT NULL")).filter(F.col("n") >= least)
-    centers = cut_lineage(centers)
-    # A center takes 1 kB: shipped up to 4096 of them.
-    few = centers.count() <= 4096
-    members = labelled.join(F.broadcast(centers) if few else centers, "pivot").select("pivot", "id", "vector", "n", "center")
+    first = center_sums(labelled.filter("pivot IS NOT NULL"))
+    # Only clusters that may count attract records.
+    first = cut_lineage(first.filter(F.col("n") >= least))
+    labelled = reassign(labelled, first, first.count())
+    centers = cut_lineage(center_sums(labelled.filter("pivot IS NOT NULL")).filter(F.col("n") >= least))
+    number = centers.count()
+    members = labelled.join(F.broadcast(centers) if number <= CENTERS else centers, "pivot").select("pivot", "id", "vector", "n", "center")
 
     def typical(batches):
         for b in batches:
@@ -267,7 +308,8 @@ def mutual_clusters(records: DataFrame, threshold: float = 0.65, least: int = 5,
                 yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("id"), b.column("vector"), b.column("n"), pa.array(t)], names=["pivot", "id", "vector", "n", "typicality"])
 
     members = members.mapInArrow(typical, "pivot string, id string, vector array<float>, n bigint, typicality double")
-    strangers = outsiders(labelled, centers, threshold - band)
+    spread = members.groupBy("pivot").agg(F.min("typicality").alias("least"))
+    strangers = outsiders(labelled, cut_lineage(centers.join(spread, "pivot")), number, threshold)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     base = members.withColumn("blocks", blocks).withColumn("own", own).select("pivot", "vector", "own", "blocks")
@@ -296,32 +338,35 @@ def mutual_clusters(records: DataFrame, threshold: float = 0.65, least: int = 5,
     return good.join(first, "pivot").select("cluster_id", "id", "n", "typicality")
 
 
-def outsiders(labelled: DataFrame, centers: DataFrame, least: float, block: int = 1024) -> DataFrame:
+def outsiders(labelled: DataFrame, centers: DataFrame, n: int, threshold: float) -> DataFrame:
     """``(pivot, vector)``: records near a cluster that are not in it, candidates for breaking it.
 
-    Every record is compared with every center, by blocks of `block` centers;
-    each pass ships one block and keeps only what comes near.
+    A record that is as similar as the threshold says to a member of typicality
+    t has the cosine ``threshold * t`` to the mean direction if the rest of it
+    points anywhere; the spread of that over directions in 128 dimensions is
+    known, and candidates are taken down to six times the spread below, for the
+    cluster's least typical member. Mean directions are compared with all
+    records in blocks of `CENTERS`, one pass each; the number of clusters grew as the
+    square root of the records in the test data, so one pass is the rule.
     """
-    passes = max(1, math.ceil(centers.count() / block))
-
-    def near(names, c):
-        def run(batches):
+    found = [labelled.select("pivot", "vector").limit(0)]
+    for names, c, t in center_blocks(centers, n):
+        t = np.clip(t, 0, 1)
+        box = labelled.sparkSession.sparkContext.broadcast((names, c, threshold * t - 6 * np.sqrt((1 - threshold**2) * (1 - t * t) / 127)))
+
+        def run(batches, box=box):
+            names, c, floor = box.value
+            place = {x: k for k, x in enumerate(names)}
             for b in batches:
-                if not (b.num_rows and len(names)):
-                    continue
-                s = unit(matrix(b)) @ c.T >= least
-                s &= np.array(b.column("pivot").to_pylist(), dtype=object)[:, None] != names[None, :]
-                i, j = np.nonzero(s)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[j], pa.string()), b.column("vector").take(pa.array(i))], names=["pivot", "vector"])
-
-        return run
-
-    found = []
-    for p in range(passes):
-        part = centers.filter(F.pmod(F.xxhash64("pivot"), F.lit(passes)) == p).select("pivot", "center").toPandas()
-        c = np.stack(part["center"].to_numpy()).astype(np.float32) if len(part) else np.zeros((0, 128), np.float32)
-        found.append(labelled.select("pivot", "vector").mapInArrow(near(np.array(part["pivot"], dtype=object), c), "pivot string, vector array<float>"))
+                if b.num_rows and len(names):
+                    s = unit(matrix(b)) @ c.T >= floor
+                    own = np.array([place.get(x, -1) for x in b.column("pivot").to_pylist()])
+                    s[np.nonzero(own >= 0)[0], own[own >= 0]] = False
+                    i, j = np.nonzero(s)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(names[j], pa.string()), b.column("vector").take(pa.array(i))], names=["pivot", "vector"])
+
+        found.append(labelled.select("pivot", "vector").mapInArrow(run, "pivot string, vector array<float>"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
