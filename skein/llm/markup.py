@@ -1,16 +1,23 @@
 """Problem 5: markup residue in texts, found and rendered to clean text.
 
 `detect` names the languages (html, markdown, wiki, latex) of which a text holds
-a construct. `render` turns them into text: HTML through a tree with implied
-end tags and visibility rules, the others through their block and inline
-constructs; the blocks (headings, paragraphs, lists, quotes, code, tables,
-formulas) are then laid out with the spacing between them and aligned cells.
-Text without markup is left as it is, character by character.
+a construct. `render` turns them into text. HTML always goes through a tree with
+implied end tags and visibility rules: a text that is HTML as a whole is laid out
+from it, with the spacing between blocks, lists and aligned cells; in a text that
+holds HTML among other markup the text between elements keeps its lines, and
+elements that make blocks of their own are laid out in place. Code and formulas
+of the other languages stand aside meanwhile. Those are rendered through their
+block and inline constructs. Text without markup is left as it is, character by
+character.
+
+Nothing recurses and no pattern is repeated a fixed number of times, so depth and
+length have no limit; only the indentation of quotes and lists stops growing at
+`DEEPEST` characters, their text goes on.
 """
 
 from __future__ import annotations
 
-import html
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -32,6 +39,9 @@ ENDS_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot",
 #: LaTeX commands that stand without an argument.
 BARE = "item|maketitle|tableofcontents|centering|noindent|newpage|clearpage|hline|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|phi|pi|omega|sum|prod|int|log|ln|exp|cos|sin|max|min|leq|geq|neq|approx|times|cdot|cdots|ldots|dots|infty|partial|nabla|top|lVert|rVert|in|subset|cup|cap|rightarrow|leftarrow|to|quad|qquad|bigskip|medskip|smallskip|LaTeX|TeX"
 
+#: Characters of indentation beyond which deeper quotes and lists add none.
+DEEPEST = 200
+
 _TAG = regex.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)(/?)>")
 _ENTITY = regex.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 _COMMENT = regex.compile(r"<!--.*?-->|<!DOCTYPE\s[^>]*>", regex.S | regex.I)
@@ -62,11 +72,14 @@ _LATEX = [
     regex.compile(rf"(?<![a-zA-Z0-9:\\])\\(?:{BARE})(?![a-zA-Z_\\])"),
     regex.compile(r"\\\[(?s:.+?)\\\]|\\\((?s:.+?)\\\)|\$\$(?s:[^$]+)\$\$"),
 ]
-_DOLLAR = regex.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,300}?)(?<=[^\s\\])\$(?![\w$])")
+_DOLLAR = regex.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\])\$(?![\w$])")
 _CODE_LINE = regex.compile(
     r"^\s*(?:(?:def|for|while|class|fn|struct|enum|impl|mod|use|import|from|let|const|var|return|assert|if|elif|else|try|except|with|func|package|public|private|protected|static|void|int|select|update|insert|delete|create|alter|drop|where|group by|order by|having|set|pub)\b.*(?:[;:{}(),\]]|\d|\w)"
     r"|#\[.*\]|//.*|/\*.*|\*/|--\s.*|#!.*|#include.*|@\w+.*|\s+#\s.*|[}\])]+[;,]?|[\w.:\[\]\"]+\s*(?:[+*/-]?=|:=)\s*\S.*|(?:-\s+)?[\w.:-]+:(?:\s+\S.*)?|[\w.:]+\(.*\)[;,]?|Some\(.*\)|.*[;{]\s*)$"
 )
+#: A label before a sentence with inline markup is no line of code.
+_LABEL = regex.compile(r"^\s*(?:[-*]\s+)?[\w .-]+:\s+\S")
+_MARKED = regex.compile(r"\*\*[^\s*][^*\n]*\*\*|\]\([^)\s]+\)|(?<!`)`[^`\n]+`(?!`)")
 _PROSE_LINE = regex.compile(r"^[^\W\d_][^\n]*\s[^\n]*[.!?:;,]?$")
 
 
@@ -75,7 +88,7 @@ def is_code(text: str) -> bool:
     lines = [x for x in _ENTITY.sub("x", text).split("\n") if x.strip()]
     if not lines:
         return False
-    code = sum(1 for x in lines if _CODE_LINE.match(x))
+    code = sum(1 for x in lines if _CODE_LINE.match(x) and not (_LABEL.match(x) and _MARKED.search(x)))
     return code >= 0.7 * len(lines)
 
 
@@ -162,13 +175,35 @@ def table(rows: list[list[str]]) -> str:
 class _Tree(HTMLParser):
     """A tree of ``[name, attributes, children]`` with end tags implied where they are left out."""
 
-    def __init__(self):
+    def __init__(self, text: str):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, []]
         self.open = [self.root]
+        self.names: Counter = Counter()
+        # Elements of raw text and hidden ones need an end tag to be such, or they would take all that follows.
+        low = text.lower()
+        self.ends = {n: low.count("</" + n) for n in (*self.CDATA_CONTENT_ELEMENTS, *getattr(self, "RCDATA_CONTENT_ELEMENTS", ()), "plaintext", *HIDDEN)}
+        self.feed(text)
+        # What is left at the end is an unfinished tag, which some versions of the parser drop: text.
+        rest, into = self.rawdata, self.open[-1][2]
+        before = len(into)
+        self.close()
+        if rest and rest not in "".join(k for k in into[before:] if isinstance(k, str)):
+            self.handle_data(rest)
+
+    def set_cdata_mode(self, elem, **kw):
+        if self.ends.get(elem, 0) > 0:
+            super().set_cdata_mode(elem, **kw)
+
+    def cut(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.names[node[0]] -= 1
+        del self.open[place:]
 
     def close_to(self, names: set[str], stop: set[str], outermost: bool = False) -> None:
         """End the innermost open element of these names, or with `outermost` all within the nearest of `stop`."""
+        if not any(self.names[n] > 0 for n in names):
+            return
         place = 0
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in stop:
@@ -178,12 +213,15 @@ class _Tree(HTMLParser):
                 if not outermost:
                     break
         if place:
-            del self.open[place:]
+            self.cut(place)
 
     def handle_starttag(self, tag, attrs):
         if tag not in BLOCK and tag not in INLINE:
             self.handle_data(self.get_starttag_text() or "")
             return
+        if tag in HIDDEN and tag != "head" and self.ends[tag] <= 0:
+            self.handle_data(self.get_starttag_text() or "")
+            return
         if tag in CLOSED_BY:
             self.close_to(CLOSED_BY[tag], {"ul", "ol", "dl", "table", "select"}, True)
         if tag in ENDS_P:
@@ -192,13 +230,16 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1][0] == tag:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
+        if tag in self.ends:
+            self.ends[tag] -= 1
         if tag in BLOCK or tag in INLINE:
             self.close_to({tag}, set())
         else:
@@ -214,104 +255,267 @@ def _hidden(node) -> bool:
     return name in HIDDEN or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
 
 
-def _inline(node) -> str:
-    if isinstance(node, str):
-        return node
-    name, attrs, kids = node
-    if _hidden(node):
+def _squeeze(text: str) -> str:
+    return "\n".join(" ".join(x.split()) for x in text.split("\n")).strip()
+
+
+class _Writer:
+    """Lines of blocks within nested containers, each with what stands before its lines and between its blocks."""
+
+    def __init__(self, between: str = "\n\n"):
+        self.parts: list[str] = []
+        # before the first line, before others, between blocks
+        self.stack: list[tuple[str, str, str]] = [("", "", between)]
+        self.used = 0  # so many of the containers hold something already
+
+    def enter(self, first: str, rest: str, between: str) -> None:
+        a, b, _ = self.stack[-1]
+        lead = b if self.used == len(self.stack) else a
+        self.stack.append((lead + first, b + (rest if len(b) < DEEPEST else ""), between) if len(lead) < DEEPEST else (lead, b, between))
+
+    def leave(self) -> None:
+        self.stack.pop()
+        self.used = min(self.used, len(self.stack))
+
+    def block(self, text: str) -> None:
+        first, rest, _ = self.stack[-1]
+        if self.used:
+            _, around, between = self.stack[self.used - 1]
+            self.parts.append(between if between == "\n" else f"\n{around}\n")
+        self.parts.append((rest if self.used == len(self.stack) else first) + text.replace("\n", "\n" + rest))
+        self.used = len(self.stack)
+
+    def text(self) -> str:
+        return "".join(self.parts)
+
+
+#: Elements laid out in place where HTML stands among other markup.
+_LAID_OUT = {"table", "ul", "ol", "menu", "dir", "pre", "blockquote", "details", "dl"}
+
+
+class _Renderer:
+    """Walks a tree once, with a stack of its own."""
+
+    def __init__(self, whole: bool):
+        self.whole = whole
+        self.writers = [_Writer()]
+        self.line: list[str] = []
+        self.verbatim: list[str] = []  # what a mixed text is made of
+        self.flat = self.pre = self.code = 0
+        self.tables: list[list[list[str]]] = []
+        self.numbers: list[int | None] = []
+        self.laid = 0
+
+    def flush(self) -> None:
+        """The inline text so far as blocks; a blank line of the source divides them too."""
+        text = "".join(self.line)
+        self.line.clear()
+        for b in regex.split(r"\n[ \t]*\n", text):
+            if b := _squeeze(b):
+                self.writers[-1].block(b)
+
+    def run(self, root) -> str:
+        todo: list = [("walk", root)]
+        while todo:
+            what, x = todo.pop()
+            if what == "walk":
+                after = self.enter(x)
+                if after is None:
+                    continue
+                if after:
+                    todo.append(("after", after))
+                todo.extend(("text", k) if isinstance(k, str) else ("walk", k) for k in reversed(x[2]))
+            elif what == "text":
+                (self.line if self.whole or self.laid else self.verbatim).append(x)
+            else:
+                x()
+        if not self.whole:
+            return "".join(self.verbatim)
+        self.flush()
+        return self.writers[0].text()
+
+    def enter(self, node):
+        """What to do after the children; None to leave them out, an empty string for nothing."""
+        name, attrs, kids = node
+        if name and _hidden(node):
+            return None
+        if not self.whole and not self.laid:
+            return self.enter_mixed(name, attrs)
+        if name == "br":
+            self.line.append("\n")
+            return None
+        if name == "img":
+            self.line.append(attrs.get("alt") or "")
+            return None
+        if name in ("code", "kbd", "samp", "tt") and not self.pre:
+            return self.enter_code()
+        if name not in BLOCK or self.flat or self.pre:
+            return ""
+        if name == "table":
+            return self.enter_table()
+        self.flush()
+        if name[0] == "h" and name[1:].isdigit():
+            return self.enter_flat(lambda t: self.writers[-1].block("#" * int(name[1]) + " " + t.replace("\n", " ")))
+        if name == "pre":
+            self.pre += 1
+            return self.end_pre
+        if name in ("ul", "ol", "menu", "dir"):
+            self.numbers.append(1 if name == "ol" else None)
+            self.writers[-1].enter("", "", "\n")
+            return self.end_list
+        if name == "li":
+            number = self.numbers[-1] if self.numbers else None
+            mark = "- " if number is None else f"{number}. "
+            if number is not None:
+                self.numbers[-1] += 1
+            self.writers[-1].enter(mark, " " * len(mark), "\n")
+            return self.end_container
+        if name == "blockquote":
+            self.writers[-1].enter("> ", "> ", "\n\n")
+            return self.end_container
+        if name == "hr":
+            self.writers[-1].block("---")
+            return None
+        if name == "tr" and self.tables:
+            self.tables[-1].append([])
+            return self.flush
+        if name in ("td", "th") and self.tables:
+            self.writers.append(_Writer("\n"))
+            return self.end_cell
+        return self.flush
+
+    def enter_mixed(self, name: str, attrs: dict):
+        if name in _LAID_OUT:
+            self.laid += 1
+            self.writers.append(_Writer())
+            self.verbatim.append("\n")
+            after = self.enter([name, attrs, []])
+
+            def done():
+                if callable(after):
+                    after()
+                self.flush()
+                self.verbatim.append(self.writers.pop().text() + "\n")
+                self.laid -= 1
+
+            return done
+        if name == "img":
+            self.verbatim.append(attrs.get("alt") or "")
+            return None
+        if name in ("br", "hr", "p", "div", "li", "tr") or name[:1] == "h" and name[1:].isdigit():
+            self.verbatim.append("\n")
+            return None if name in VOID else lambda: self.verbatim.append("\n")
         return ""
-    if name == "br":
-        return "\n"
-    if name == "img":
-        return attrs.get("alt") or ""
-    text = "".join(map(_inline, kids))
-    return f"`{text}`" if name in ("code", "kbd", "samp", "tt") and text.strip() else text
 
+    def enter_code(self):
+        self.code += 1
+        if self.code > 1:
+            return self.leave_code
+        start = len(self.line)
 
-def _squeeze(text: str) -> str:
-    return "\n".join(" ".join(x.split()) for x in text.split("\n")).strip()
+        def done():
+            self.code -= 1
+            text = "".join(self.line[start:])
+            self.line[start:] = [f"`{text}`" if text.strip() else text]
 
+        return done
 
-def _layout(node, depth: int = 0) -> list[str]:
-    """The blocks of a node in order."""
-    out: list[str] = []
-    line: list[str] = []
+    def leave_code(self) -> None:
+        self.code -= 1
 
-    def flush():
-        # Line breaks of the source are white space here, those of <br> are kept.
-        text = "".join(line)
-        line.clear()
-        blocks = [_squeeze(b) for b in regex.split(r"\n[ \t]*\n", text)]
-        out.extend(b for b in blocks if b)
+    def enter_flat(self, emit):
+        self.flat += 1
 
-    for kid in node[2]:
-        if isinstance(kid, str) or kid[0] not in BLOCK:
-            if not isinstance(kid, str) and any(not isinstance(k, str) and k[0] in BLOCK for k in kid[2]) and not _hidden(kid):
-                flush()
-                out += _layout(kid, depth)
-            else:
-                line.append(_inline(kid))
-            continue
-        flush()
-        name = kid[0]
-        if _hidden(kid):
-            continue
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            text = _squeeze(_inline(kid)).replace("\n", " ")
+        def done():
+            self.flat -= 1
+            text = _squeeze("".join(self.line))
+            self.line.clear()
             if text:
-                out.append("#" * int(name[1]) + " " + text)
-        elif name == "pre":
-            out.append("```\n" + "".join(_inline(k) if isinstance(k, str) else "".join(x if isinstance(x, str) else _inline(x) for x in k[2]) for k in kid[2]).strip("\n") + "\n```")
-        elif name in ("ul", "ol", "menu", "dir"):
-            items, number = [], 1
-            for li in kid[2]:
-                if isinstance(li, str):
-                    if li.strip():
-                        items.append(li.strip())
-                    continue
-                mark = f"{number}. " if name == "ol" else "- "
-                number += 1
-                body = "\n".join(_layout(li, depth + 1))
-                if body:
-                    items.append(mark + body.replace("\n", "\n" + " " * len(mark)))
-            if items:
-                out.append("\n".join(items))
-        elif name == "table":
-            rows = _rows(kid)
-            out += ["\n".join(_layout(c)) for c in kid[2] if not isinstance(c, str) and c[0] == "caption"]
-            if rows:
-                out.append(table(rows))
-        elif name == "blockquote":
-            body = "\n\n".join(_layout(kid, depth))
-            if body:
-                out.append("\n".join("> " + x for x in body.split("\n")))
-        elif name == "hr":
-            out.append("---")
-        else:
-            out += _layout(kid, depth)
-    flush()
-    return out
+                emit(text)
 
+        return done
 
-def _rows(node) -> list[list[str]]:
-    rows = []
-    for kid in node[2]:
-        if isinstance(kid, str) or _hidden(kid):
-            continue
-        if kid[0] == "tr":
-            cells = [_squeeze(" ".join(_layout(c))) for c in kid[2] if not isinstance(c, str) and c[0] in ("td", "th") and not _hidden(c)]
-            if cells:
-                rows.append(cells)
-        elif kid[0] != "table":
-            rows += _rows(kid)
-    return rows
+    def end_pre(self) -> None:
+        self.pre -= 1
+        text = "".join(self.line).strip("\n")
+        self.line.clear()
+        self.writers[-1].block("```\n" + text + "\n```")
+
+    def end_container(self) -> None:
+        self.flush()
+        self.writers[-1].leave()
+
+    def end_list(self) -> None:
+        self.numbers.pop()
+        self.end_container()
+
+    def enter_table(self):
+        self.flush()
+        self.tables.append([])
+        return self.end_table
+
+    def end_table(self) -> None:
+        self.flush()
+        rows = [r for r in self.tables.pop() if r]
+        if rows:
+            self.writers[-1].block(table(rows))
+
+    def end_cell(self) -> None:
+        self.flush()
+        cell = " ".join(self.writers.pop().text().split())
+        if not self.tables[-1]:
+            self.tables[-1].append([])
+        self.tables[-1][-1].append(cell)
 
 
 def render_html(text: str) -> str:
-    tree = _Tree()
-    tree.feed(text)
-    tree.close()
-    return "\n\n".join(_layout(tree.root))
+    """A text that is HTML as a whole."""
+    return _Renderer(True).run(_Tree(text).root)
+
+
+def resolve_html(text: str) -> str:
+    """A text with HTML among other markup, whose lines stay."""
+    return _Renderer(False).run(_Tree(text).root)
+
+
+def templates(text: str) -> str:
+    """``{{name|a|key=b}}`` resolved to its values, at any depth in one pass; unfinished ones stay."""
+    stack: list[list[str]] = [[]]
+    at = 0
+    for m in regex.finditer(r"\{\{|\}\}", text):
+        stack[-1].append(text[at : m.start()])
+        at = m.end()
+        if m.group() == "{{":
+            stack.append([])
+        elif len(stack) == 1:
+            stack[-1].append("}}")
+        else:
+            values = "".join(stack.pop()).split("|")[1:]
+            stack[-1].append(" ".join(v.split("=")[-1].strip() for v in values if v.strip()))
+    stack[-1].append(text[at:])
+    out = "".join(stack[0])
+    return out + "".join("{{" + "".join(x) for x in stack[1:])
+
+
+def unwrap(text: str) -> str:
+    """LaTeX commands with an argument resolved to it, at any depth in one pass; unfinished ones stay."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at = 0
+    for m in regex.finditer(r"\\[\\{}]|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|[{}]", text):
+        found = m.group()
+        stack[-1][1].append(text[at : m.start()])
+        at = m.end()
+        if found[0] == "\\" and len(found) == 2:
+            stack[-1][1].append(found)
+        elif found != "}":
+            stack.append((found, []))
+        elif len(stack) == 1:
+            stack[-1][1].append("}")
+        else:
+            opened, inner = stack.pop()
+            stack[-1][1].append("".join(inner) if opened != "{" else "{" + "".join(inner) + "}")
+    stack[-1][1].append(text[at:])
+    return "".join(opened + "".join(inner) for opened, inner in stack)
 
 
 def _inline_markdown(t: str) -> str:
@@ -362,10 +566,7 @@ def render_wiki(text: str) -> str:
     text = regex.sub(r"(?s)<ref\b[^>/]*>.*?</ref>|<ref\b[^>]*/>|<references\s*/?>", "", text)
     text = regex.sub(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|Категория|File|Image|Datei)\s*:[^\[\]]*\]\]", "", text, flags=regex.I)
     text = regex.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", text)
-    for _ in range(4):
-        text, n = regex.subn(r"\{\{([^{}|\n]*)((?:\|[^{}\n]*)?)\}\}", lambda m: " ".join(x.split("=")[-1] for x in m.group(2).split("|") if x), text)
-        if not n:
-            break
+    text = templates(text)
     text = regex.sub(r"\[(https?://\S+)\s+([^\]\n]+)\]", r"\2", text)
     text = regex.sub(r"'''(?=\S)(.+?)'''", r"\1", text)
     text = regex.sub(r"''(?=\S)(.+?)''", r"\1", text)
@@ -418,16 +619,18 @@ def render_latex(text: str) -> str:
     text = regex.sub(r"\\(?:label|cite|ref|eqref|pageref|usepackage|documentclass)(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
     text = regex.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
     text = regex.sub(r"\\texttt\{([^{}]*)\}", r"`\1`", text)
-    for _ in range(6):
-        text, n = regex.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
+    text = unwrap(text)
     text = regex.sub(r"(?<![\w:\\])\\(?:it|bf|tt|em|maketitle|tableofcontents|centering|noindent|newpage|clearpage|hline|bigskip|medskip|smallskip)\b[ \t]*", "", text)
     text = regex.sub(r"\\([&%$#_{}])", r"\1", text).replace("``", "“").replace("''", "”")
     text = regex.sub(r"\\\\[ \t]*$", "", text, flags=regex.M)
-    for _ in range(3):
-        text = regex.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], text)
-    return text
+    # A piece that was set aside may hold earlier ones only.
+    for k in range(len(kept)):
+        kept[k] = regex.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], kept[k])
+    return regex.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], text)
+
+
+_ASIDE = regex.compile(r"(?m)^ {0,3}(?:```|~~~)[^\n]*\n(?s:.*?)(?:^ {0,3}(?:```|~~~)[ \t]*$|\Z)|`[^`\n]+`")
+_FORMULA = regex.compile(r"(?s)\\\[.+?\\\]|\\\(.+?\\\)|\$\$[^$]+\$\$|\\begin\{(verbatim|lstlisting|equation|align|math|displaymath)\*?\}.*?\\end\{\1\*?\}")
 
 
 def render(text: str | None, languages: list[str] | None = None) -> str | None:
@@ -438,13 +641,25 @@ def render(text: str | None, languages: list[str] | None = None) -> str | None:
     if not languages:
         return text
     if "html" in languages:
-        whole = text.count("</") >= 2 and text.lstrip().startswith("<")
-        if whole:
+        if text.count("</") >= 2 and text.lstrip().startswith("<"):
             text = render_html(text)
         else:
-            # HTML within another language: elements are resolved in place, line structure is kept.
-            parts = regex.split(r"((?m:^ {0,3}(?:```|~~~)[^\n]*\n(?s:.*?)(?:^ {0,3}(?:```|~~~)[ \t]*$|\Z))|`[^`\n]+`)", text)
-            text = "".join(p if k % 2 else _resolve(p) for k, p in enumerate(parts) if p)
+            # Code and formulas of the other languages stand aside.
+            mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+            aside: list[str] = []
+
+            def put(m):
+                aside.append(m.group(0))
+                return f"{mark}{len(aside) - 1}{mark}"
+
+            kept = _ASIDE.sub(put, text)
+            if "latex" in languages:
+                kept = _FORMULA.sub(put, kept)
+                kept = _DOLLAR.sub(lambda m: put(m) if _is_math(m.group(1)) else m.group(0), kept)
+            text = resolve_html(kept)
+            for k in range(len(aside)):
+                aside[k] = regex.sub(f"{mark}(\\d+){mark}", lambda m: aside[int(m.group(1))], aside[k])
+            text = regex.sub(f"{mark}(\\d+){mark}", lambda m: aside[int(m.group(1))], text)
     if "latex" in languages:
         text = render_latex(text)
     if "wiki" in languages:
@@ -454,22 +669,6 @@ def render(text: str | None, languages: list[str] | None = None) -> str | None:
     return regex.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
-def _resolve(text: str) -> str:
-    def blocks(m):
-        return "\n" + render_html(m.group(0)) + "\n"
-
-    text = _COMMENT.sub("", text)
-    text = regex.sub(r"(?is)<(table|ul|ol|pre|blockquote|details|dl)\b[^>]*>.*?</\1\s*>", blocks, text)
-
-    def tag(m):
-        name = m.group(2).lower()
-        if name not in BLOCK and name not in INLINE:
-            return m.group(0)
-        return "\n" if name in ("br", "hr", "p", "div", "li", "tr") or name[0] == "h" and name[1:].isdigit() else ""
-
-    return html.unescape(_TAG.sub(tag, text)) if "&" in text else _TAG.sub(tag, text)
-
-
 def clean(chunks: DataFrame) -> DataFrame:
     """``(id, markup, clean)`` from ``(id, text)``: the languages found, and the rendered text.
 

@@ -8,6 +8,14 @@ into `parts` partitions, each into `pieces` pieces; for every way to leave out
 Two records share a signature if in some partition their differences lie within
 `drop` pieces. Records that share one are compared exactly.
 
+A signature that more than `HOT` records share, as a template does that many
+texts begin with, gives no pairs. Its texts go a second way that is exact: two
+sets of similarity t share an element among the ``n - ceil(t n) + 1`` rarest of
+each, so texts are listed under those shingles, rarest first by their number in
+all hot texts. A template's shingles are the last in that order and bring nothing
+together. Vectors of hot signatures are compared exactly in blocks by matrix
+products, which write only the pairs that are similar.
+
 Exact copies are grouped before and meet nothing but their representative, so a
 group of copies of any size costs one row a copy.
 """
@@ -19,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.vectors import cross_polytope, fold64, matrix, pair_cosine, rotations, unit
@@ -27,7 +35,9 @@ from skein.session import cut_lineage, maybe_broadcast
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Up to so many copies of one text are given as all their pairs; beyond, as pairs with the smallest id.
+#: Records of one signature up to which all their pairs are candidates.
+HOT = 64
+#: Up to so many copies of one text are given as all their pairs by default; beyond, as pairs with the smallest id.
 ALL_PAIRS = 64
 
 
@@ -154,14 +164,65 @@ def vector_signatures(features: DataFrame, parts: int, pieces: int, drop: int) -
     return features.select("id", "sketch").mapInArrow(run, "id string, sig bigint")
 
 
-def meeting(signatures: DataFrame) -> DataFrame:
-    """``(a, b)``, ``a < b``: the distinct pairs of records that share a signature.
+def meeting(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``, ``a < b``: the distinct pairs that share a signature of few records, and ``(sig, id, n)`` of the others.
 
-    Both sides of the join read one shuffle of the signatures.
+    One shuffle counts the records of each signature; only those with company
+    are written and go on.
     """
-    left = signatures.select("sig", F.col("id").alias("a"))
-    right = signatures.select("sig", F.col("id").alias("b"))
-    return left.join(right, "sig").filter("a < b").select("a", "b").distinct()
+    n = F.count("*").over(Window.partitionBy("sig"))
+    met = cut_lineage(signatures.withColumn("n", n).filter("n > 1"))
+    few = met.filter(F.col("n") <= HOT)
+    left, right = few.select("sig", F.col("id").alias("a")), few.select("sig", F.col("id").alias("b"))
+    return left.join(right, "sig").filter("a < b").select("a", "b").distinct(), met.filter(F.col("n") > HOT)
+
+
+def prefix_pairs(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(a, b)``: all pairs of texts ``(id, text)`` that may reach the threshold, by the rarest shingles of each.
+
+    Exact: no similar pair is missing. Texts that share more than about half of
+    their shingles with very many others still meet all of them.
+    """
+
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            sets = [shingles(word_hashes(t, known), width).view(np.int64) for t in b.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "g"])
+
+    sets = cut_lineage(texts.select("id", "text").mapInArrow(run, "id string, g array<bigint>"))
+    each = sets.select("id", F.size("g").alias("size"), F.explode("g").alias("g"))
+    df = each.groupBy("g").agg(F.count("*").alias("df"))
+    # A shingle of one text brings nothing together, but takes its place in the order.
+    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    listed = each.join(df, "g").withColumn("at", order).filter(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1).filter("df > 1")
+    listed = cut_lineage(listed.select("g", "id", "size"))
+    left, right = listed.select("g", F.col("id").alias("a"), F.col("size").alias("m")), listed.select("g", F.col("id").alias("b"), F.col("size").alias("n"))
+    # Equal-size bands: the smaller set of a similar pair has at least the threshold's share of the larger.
+    both = left.join(right, "g").filter((F.col("a") < F.col("b")) & (F.least("m", "n") >= threshold * F.greatest("m", "n")))
+    return both.select("a", "b").distinct()
+
+
+def block_pairs(hot: DataFrame, rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """``(a, b)`` of vectors that share a hot signature and reach the threshold, compared in blocks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
+    cells = hot.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("sig", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(rows.select("id", "vector"), "id")
+
+    def near(table):
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, u = np.array(table.column("id").to_pylist(), dtype=object), unit(matrix(table), np.float64)
+        x, y = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        out = []
+        for k in range(0, len(x), 512):
+            a, b = np.nonzero(u[x[k : k + 512]] @ u[y].T >= threshold - 1e-9)
+            out += [(p, q) for p, q in zip(ids[x[k + a]], ids[y[b]]) if p != q]
+        return pa.table([pa.array([min(p) for p in out], pa.string()), pa.array([max(p) for p in out], pa.string())], names=["a", "b"])
+
+    return cells.groupBy("sig", "i", "j").applyInArrow(near, "a string, b string").distinct()
 
 
 def jaccard(pairs: DataFrame, width: int) -> DataFrame:
@@ -201,19 +262,19 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def copies(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def copies(rows: DataFrame, by: str, most: int = ALL_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Representatives ``(id, by)``, members ``(rep, ids, n)`` of groups of copies and the star pairs of large ones.
 
     Groups are formed by two 64-bit hashes of the content; counts and the
     smallest id are pre-aggregated. Lists are collected only of groups within
-    `ALL_PAIRS`, so none grows without bound. The content moves only if there are
+    `most`, so none grows without bound. The content moves only if there are
     too many copies to ship the list of their ids.
     """
     stored = cut_lineage(rows.select("id", by, F.xxhash64(by).alias("k1"), F.xxhash64(F.lit(1), by).alias("k2")))
     several = stored.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
     grouped = cut_lineage(stored.select("id", "k1", "k2").join(several, ["k1", "k2"]).select("id", "rep", "n"))
-    members = grouped.filter(F.col("n") <= ALL_PAIRS).groupBy("rep").agg(F.collect_list("id").alias("ids"), F.max("n").alias("n"))
-    large = grouped.filter(F.col("n") > ALL_PAIRS)
+    members = grouped.filter(F.col("n") <= most).groupBy("rep").agg(F.collect_list("id").alias("ids"), F.max("n").alias("n"))
+    large = grouped.filter(F.col("n") > most)
     members = members.unionByName(large.filter("id = rep").select("rep", F.array("rep").alias("ids"), "n"))
     star = large.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
     again = grouped.filter("id <> rep").select("id")
@@ -221,6 +282,13 @@ def copies(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return reps, members, star
 
 
+def membership(rows: DataFrame, by: str) -> DataFrame:
+    """``(id, rep, copies)`` of every record that has copies: the smallest id of its group, and the group's size."""
+    keyed = rows.filter(F.col("id").isNotNull() & F.col(by).isNotNull()).select("id", F.xxhash64(by).alias("k1"), F.xxhash64(F.lit(1), by).alias("k2"))
+    several = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("rep")).filter("copies > 1")
+    return keyed.join(several, ["k1", "k2"]).select("id", "rep", "copies")
+
+
 def with_content(pairs: DataFrame, reps: DataFrame, by: str, names: tuple[str, str]) -> DataFrame:
     """Pairs ``(a, b)`` with the content of both; only records that occur in a pair move."""
     pairs = cut_lineage(pairs)
@@ -230,19 +298,25 @@ def with_content(pairs: DataFrame, reps: DataFrame, by: str, names: tuple[str, s
     return left.join(few.select(F.col("id").alias("b"), F.col(by).alias(names[1])), "b")
 
 
-def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 45, parts: int = 12, pieces: int = 4, drop: int = 1) -> DataFrame:
+def similar_texts(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 45, parts: int = 16, pieces: int = 4, drop: int = 1, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``, of near-duplicate texts.
 
     `chunks` holds ``id, text`` with unique ids; null texts and those below
     `least_words` words are no record. With one shingle minimum a piece, a pair
-    at 0.5 shares a signature with probability 0.989 and one at 0.6 with
-    0.9996. Texts are compared whole.
+    at 0.5 shares a signature with probability 0.9975 and one at 0.55 with
+    0.9996. Texts are compared whole. Of a group of more than `all_pairs` copies
+    only the pairs with the smallest id are given; `membership` gives every copy
+    with that id, so that no link is lost.
     """
-    reps, members, star = copies(chunks.filter("id IS NOT NULL AND text IS NOT NULL"), "text")
+    reps, members, star = copies(chunks.filter("id IS NOT NULL AND text IS NOT NULL"), "text", all_pairs)
     features = cut_lineage(text_features(reps, width, least_words, parts, pieces))
     # Pairs meet by few elements; before texts move, all of them are compared. Of a pair at the threshold
     # half agree; little more than half of those, the least asked for, lies three standard deviations below.
-    met = likely(meeting(text_signatures(features, parts, pieces, drop)), features, int(parts * pieces * threshold * 0.55))
+    few, hot = meeting(text_signatures(features, parts, pieces, drop))
+    met = likely(few, features, int(parts * pieces * threshold * 0.55))
+    hot = cut_lineage(hot.select("id").distinct())
+    if number := hot.count():
+        met = met.unionByName(prefix_pairs(reps.join(maybe_broadcast(hot, number), "id", "left_semi"), width, threshold)).distinct()
     near = jaccard(with_content(met, reps, "text", ("ta", "tb")), width).filter(F.col("sim") >= threshold)
     # A text that stands alone without enough words has no signature; copies are looked at here.
     several = members.select(F.col("rep").alias("id"))
@@ -265,15 +339,18 @@ def long_enough(texts: DataFrame, least_words: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id string")
 
 
-def similar_vectors(records: DataFrame, threshold: float = 0.99, parts: int = 5, pieces: int = 3, drop: int = 1, step: int = 4) -> DataFrame:
+def similar_vectors(records: DataFrame, threshold: float = 0.99, parts: int = 5, pieces: int = 3, drop: int = 1, step: int = 4, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``, of current usable records with nearly equal vectors.
 
     Measured, a pair at 0.99 shares a signature with probability 0.98 and one
     at 0.995 with 0.999.
     """
-    reps, members, star = copies(records, "vector")
+    reps, members, star = copies(records, "vector", all_pairs)
     features = cut_lineage(vector_features(reps, parts, pieces, step))
     # Of a pair at the threshold 85 % of the values agree, of others in one cluster below half.
-    met = likely(meeting(vector_signatures(features, parts, pieces, drop)), features, parts * pieces * step * 2 // 3)
+    few, hot = meeting(vector_signatures(features, parts, pieces, drop))
+    met = likely(few, features, parts * pieces * step * 2 // 3)
+    if hot.limit(1).count():
+        met = met.unionByName(block_pairs(hot, reps, threshold)).distinct()
     near = pair_cosine(with_content(met, reps, "vector", ("va", "vb"))).filter(F.col("sim") >= threshold)
     return expand(near.select("a", "b"), members).unionByName(star)

@@ -1,12 +1,15 @@
 """Problem 10: text statistics per document, their place among documents of the language, and the form.
 
-One pass gives the statistics of each text. Per language a mergeable quantile
-sketch of each statistic (`approx_percentile`, combined within tasks first) is
-built over all documents; a value becomes a robust z-score by the sketch's median
-and quartiles, and the tails tell in which statistics it stands out. The form
-(prose, list, table or junk) is told from the statistics of every document, in a
-tail or not: where one text is copied so often that it is most of its language,
-nothing of it lies in a tail.
+One pass gives the statistics of each text. Per language, and over all, a mergeable
+quantile sketch of each statistic (`percentile_approx`, combined within tasks first)
+is built over all distinct texts: a text that is copied so often that it is most
+of its language counts once. A value becomes a robust z-score by the sketch's
+median and quartiles; a language with few texts is judged by the sketch over all.
+
+The tails decide. A document is prose unless it lies in a tail, and which tails it lies
+in tells what else it is: cells in nearly every line a table, entries in nearly
+every line a list, and junk what has hardly any letters, repeats itself, holds coded
+or garbled characters, or has few vowels or many symbols and hardly a common word.
 """
 
 from __future__ import annotations
@@ -20,12 +23,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage
+
 STATISTICS = (
     "words", "mean_word_length", "symbol_share", "digit_share", "letter_share", "end_share", "common_share", "distinct_share", "vowel_share",
     "line_length", "entry_share", "cell_share", "odd_share", "longest_token_share",
 )
-#: A value this many robust standard deviations from the median lies in a tail.
-TAIL = 1.0
+COLUMNS = [*STATISTICS, "hex_share", "lines", "speakers"]
+#: A value so many robust standard deviations from the median lies in a tail, and so many far out.
+TAIL, FAR = 3.0, 10.0
+#: Least robust standard deviations, where all texts of a language are alike in a statistic.
+LEAST = {
+    "words": 10, "mean_word_length": 0.3, "symbol_share": 0.025, "digit_share": 0.03, "letter_share": 0.075, "end_share": 0.1, "common_share": 0.03, "distinct_share": 0.065, "vowel_share": 0.012,
+    "line_length": 20, "entry_share": 0.1, "cell_share": 0.05, "odd_share": 0.006, "longest_token_share": 0.05, "hex_share": 0.06, "lines": 2, "speakers": 0.1,
+}
+#: Share of the texts of a language with the fewest common words.
+FEW_COMMON = 0.2
+#: Distinct texts that a language needs for sketches of its own.
+ENOUGH = 200
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}_'’]+")
 _PLAIN_WORD = re.compile(r"[\w'’]+")
@@ -177,86 +192,85 @@ def statistics(text: str, common: Vocabulary) -> dict[str, float]:
     }
 
 
-def form(s: dict[str, float]) -> str:
-    """prose, list, table or junk, from the statistics alone."""
-    lead = 1.0 / max(1.0, s["lines"])
-    if s["hex_share"] > 0.6 or s["odd_share"] > 0.06 or s["longest_token_share"] > 0.5:
-        return "junk"
-    if s["letter_share"] < 0.2 and s["cell_share"] < 0.8:
-        return "junk"
-    if s["digit_share"] > 0.75 and s["letter_share"] < 0.2:
-        return "junk"
-    if s["words"] >= 12 and s["distinct_share"] < 0.35 and s["cell_share"] < 0.75 and s["entry_share"] < 0.8:
-        return "junk"
-    if s["vowel_share"] < 0.27 and s["common_share"] < 0.08 and s["cell_share"] < 0.8:
-        return "junk"
-    if s["symbol_share"] > 0.3 and s["common_share"] < 0.05 and s["letter_share"] < 0.62 and s["cell_share"] < 0.7 and s["entry_share"] < 0.8:
-        return "junk"
-    if s["lines"] >= 3 and s["cell_share"] >= min(0.85, 1 - lead - 1e-9):
-        return "table"
-    if s["lines"] >= 4 and s["entry_share"] >= min(0.85, 1 - lead - 1e-9) and s["speakers"] < 0.5:
-        return "list"
-    return "prose"
-
+def form(z: dict, tail: float = TAIL, far: float = FAR):
+    """The form of a document as a Column, from its z-scores `z`.
 
-COLUMNS = [*STATISTICS, "hex_share", "lines", "speakers"]
+    What "nearly all lines" means is the definition of a list or table, 85 % or
+    all but one; that they are in a tail as well is what sets the document apart.
+    """
+    nearly = F.least(F.lit(0.85), 1 - 1 / F.greatest(F.lit(1.0), "lines") - 1e-9)
+    cells = (z["cell_share"] >= tail) & (F.col("cell_share") >= 0.75)
+    entries = (z["entry_share"] >= tail) & (F.col("entry_share") >= 0.8)
+    coded = (z["odd_share"] >= far) | (z["longest_token_share"] >= far) | (z["hex_share"] >= far)
+    bare = (z["letter_share"] <= -far) & ~cells
+    repeated = (z["distinct_share"] <= -far) & (F.col("words") >= 12) & ~cells & ~entries
+    unread = F.col("common_share") <= F.col("common_share_low")
+    random = (z["vowel_share"] <= -far / 2) & unread & ~cells
+    symbols = (z["symbol_share"] >= far) & (z["letter_share"] <= -tail) & unread & ~cells & ~entries
+    table = (z["cell_share"] >= tail) & (F.col("cell_share") >= nearly) & (F.col("lines") >= 3)
+    listed = (z["entry_share"] >= tail) & (F.col("entry_share") >= nearly) & (F.col("lines") >= 4) & (F.col("speakers") < 0.5)
+    return F.when(coded | bare | repeated | random | symbols, "junk").when(table, "table").when(listed, "list").otherwise("prose")
 
 
 def measure(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``(id, lang, <statistics>)`` from ``(id, text, lang)``; null, empty and blank texts give no row.
+    """``(id, lang, k1, k2, <statistics>)`` from ``(id, text, lang)``; null, empty and blank texts give no row.
 
-    `common_words` is a fixed table of a few hundred rows. The language is its
-    first two letters in lower case, ``und`` if that is no known one.
+    `common_words` is a fixed table of a few hundred rows; one of more than
+    100,000 is refused. The language is its first two letters in lower case,
+    ``und`` if that is no known one. ``k1`` and ``k2`` are hashes of the text.
     """
-    rows = common_words.select("lang", "word").limit(100_000).collect()  # a fixed table
+    rows = common_words.select("lang", "word").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("too many common words to ship")
     common = Vocabulary([(r["lang"], r["word"]) for r in rows])
 
     def run(batches):
         for b in batches:
-            ids, langs, out = [], [], []
-            for i, t, g in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist()):
+            ids, langs, at, out = [], [], [], []
+            for n, (i, t, g) in enumerate(zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist())):
                 if t and not t.isspace():
                     g = (g or "").strip().lower()[:2]
                     ids.append(i)
+                    at.append(n)
                     langs.append(g if g in common.languages else "und")
                     out.append(statistics(t, common))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.column("id").type), pa.array(langs, pa.string()), *(pa.array([s[c] for s in out], pa.float64()) for c in COLUMNS)],
-                names=["id", "lang", *COLUMNS],
+                [pa.array(ids, b.column("id").type), pa.array(langs, pa.string()), b.column("k1").take(pa.array(at, pa.int64())), b.column("k2").take(pa.array(at, pa.int64())), *(pa.array([s[c] for s in out], pa.float64()) for c in COLUMNS)],
+                names=["id", "lang", "k1", "k2", *COLUMNS],
             )
 
     kind = dict(documents.dtypes)["id"]
-    return documents.select("id", "text", "lang").mapInArrow(run, f"id {kind}, lang string, " + ", ".join(f"{c} double" for c in COLUMNS))
+    rows = documents.select("id", "text", "lang", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    return rows.mapInArrow(run, f"id {kind}, lang string, k1 bigint, k2 bigint, " + ", ".join(f"{c} double" for c in COLUMNS))
+
 
+def sketches(measured: DataFrame, accuracy: int = 10_000, enough: int = ENOUGH) -> DataFrame:
+    """One row a language: median ``_mid`` and robust deviation ``_dev`` of each statistic, and ``common_share_low``.
 
-def sketches(measured: DataFrame, accuracy: int = 1000) -> DataFrame:
-    """One row a language: median and spread of each statistic from its quantile sketch."""
-    aggs = [F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(c) for c in STATISTICS]
-    q = measured.groupBy("lang").agg(*aggs)
+    Sketches are taken over distinct texts, per language and over all; a
+    language with less than `enough` of them gets those over all.
+    """
+    distinct = measured.groupBy("lang", "k1", "k2").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    points = [0.25, 0.5, 0.75, FEW_COMMON]
+    q = distinct.rollup("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(c, points, accuracy).alias(c) for c in COLUMNS])
+    # One row a language of a fixed table, and one over all.
+    q = q.select("lang", "n", F.struct(*COLUMNS).alias("own"))
+    every = q.filter("lang IS NULL").select(F.col("own").alias("every"))
+    q = q.filter("lang IS NOT NULL").join(F.broadcast(every)).select("lang", F.when(F.col("n") >= enough, F.col("own")).otherwise(F.col("every")).alias("q"))
     out = []
-    for c in STATISTICS:
-        iqr = (F.col(c)[2] - F.col(c)[0]) / 1.349
-        out += [F.col(c)[1].alias(f"{c}_mid"), F.greatest(iqr, F.lit(1e-3)).alias(f"{c}_dev")]
-    return q.select("lang", *out)
+    for c in COLUMNS:
+        x = F.col("q")[c]
+        out += [x[1].alias(f"{c}_mid"), F.greatest((x[2] - x[0]) / 1.349, F.lit(float(LEAST[c]))).alias(f"{c}_dev")]
+    return q.select("lang", *out, F.col("q.common_share")[3].alias("common_share_low"))
 
 
 def judge(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``(id, lang, <statistics>, <statistic>_z, tails, form)`` of each document that is not blank."""
-    from skein.session import cut_lineage
-
     measured = cut_lineage(measure(documents, common_words))
-    quantiles = sketches(measured)
     # One row a language of the fixed table.
-    joined = measured.join(F.broadcast(quantiles), "lang")
-    z = {c: (F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_dev") for c in STATISTICS}
-    tails = F.array_compact(F.array(*[F.when(F.abs(z[c]) >= TAIL, F.lit(c)) for c in STATISTICS]))
-    scored = joined.select("id", *["lang", *COLUMNS], *[z[c].alias(f"{c}_z") for c in STATISTICS], tails.alias("tails"))
-
-    def run(batches):
-        for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in COLUMNS}
-            forms = [form({c: cols[c][k] for c in COLUMNS}) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forms, pa.string())], names=[*b.schema.names, "form"])
-
-    kinds = ", ".join(f"{n} {t}" for n, t in scored.dtypes)
-    return scored.mapInArrow(run, kinds + ", form string")
+    joined = measured.join(F.broadcast(sketches(measured)), "lang")
+    z = {c: (F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_dev") for c in COLUMNS}
+    scored = joined.select("id", "lang", *COLUMNS, "common_share_low", *[z[c].alias(f"{c}_z") for c in COLUMNS])
+    z = {c: F.col(f"{c}_z") for c in COLUMNS}
+    tails = F.array_compact(F.array(*[F.when(F.abs(z[c]) >= TAIL, F.lit(c)) for c in COLUMNS]))
+    return scored.select("id", "lang", *COLUMNS, *[f"{c}_z" for c in COLUMNS], tails.alias("tails"), form(z).alias("form"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, sentences, splitting, tokens
 from skein.llm.vectors import current_records
+from skein.operators.search import batch_topk
 from skein.session import cut_lineage
 
 
@@ -35,6 +36,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.similar_texts(texts).unionByName(neardup.similar_vectors(vectors))
 
 
+def p2_membership(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    vectors = current_records(_t(spark, sf, "vector_docs"))
+    return neardup.membership(texts, "text").unionByName(neardup.membership(vectors, "vector"))
+
+
 def _every_50th(name: str):
     """Whether the number in an id is divisible by 50: the query set of searches."""
     return F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("bigint") % 50 == 0, F.lit(False))
@@ -49,6 +56,18 @@ def p3_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("id", "neighbour", F.round("sim", 6).alias("sim"), "rank")
 
 
+def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of `p3_nearest`'s operator against brute force over all records, for the records whose number is divisible by 500."""
+    rows = cut_lineage(current_records(_t(spark, sf, "vector_docs")))
+    asks = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint") % 500 == 0, F.lit(False))
+    near = neighbours.nearest(rows, 10, queries=asks).select("id", "neighbour")
+    exact = batch_topk(rows, rows.filter(asks).select(F.col("id").alias("query_id"), "vector"), 11, "cosine").filter("query_id <> id")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    exact = exact.withColumn("r", F.row_number().over(w)).filter("r <= 10").select(F.col("query_id").alias("id"), F.col("id").alias("neighbour"))
+    both = exact.join(near.withColumn("hit", F.lit(1)), ["id", "neighbour"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("at_least_90_percent"))
+
+
 def _term_counts(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.term_counts(_current_chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
 
@@ -91,6 +110,16 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(_sized_chunks(spark, sf)).select(F.col("id").alias("chunk_id"), "piece", "start", "end", "content")
 
 
+def p6_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each cut chunk: pieces, whether all are within the limit, meet with the overlap, and cover the text."""
+    rows = _sized_chunks(spark, sf)
+    pieces = splitting.split(rows).join(rows.select("id", "limit", "overlap", F.char_length("text").alias("size")), "id")
+    before = F.lag("end").over(Window.partitionBy("id").orderBy("piece"))
+    pieces = pieces.withColumn("fits", F.coalesce(F.col("start") == before - F.col("overlap"), F.col("start") == 0))
+    out = pieces.groupBy("id", "size").agg(F.count("*").alias("pieces"), F.min((F.col("end") - F.col("start") <= F.col("limit")).cast("int")).alias("within"), F.min(F.col("fits").cast("int")).alias("meet"), F.max("end").alias("last"), F.min((F.char_length("content") == F.col("end") - F.col("start")).cast("int")).alias("whole"))
+    return out.select(F.col("id").alias("chunk_id"), (F.col("within") == 1).alias("within"), (F.col("meet") == 1).alias("meet"), ((F.col("last") == F.col("size")) & (F.col("whole") == 1)).alias("covers"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = _current_chunks(spark, sf, "chunk_type").filter("lower(chunk_type) = 'production'")
     return sentences.split(texts.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))).select(F.col("id").alias("chunk_id"), F.col("start").alias("sent_start"))
@@ -118,6 +147,17 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _containers(spark, sf).select(F.col("id").alias("doc_id"), "piece", "start", "size", "container")
 
 
+def p9_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents, whether no container is over its capacity and every document is placed whole, and whether less than 2 % of the room is lost."""
+    sizes = cut_lineage(tokens.count_tokens(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), out="size"))
+    placed = cut_lineage(packing.fill(sizes))
+    most = placed.filter("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("n"))
+    most = most.agg(F.max("n").alias("most"), F.count("*").alias("containers"), F.sum("n").alias("tokens"))
+    whole = placed.groupBy("id").agg(F.sum("size").alias("n"), F.count("*").alias("pieces")).join(sizes, "id", "full")
+    whole = whole.agg(F.count("*").alias("documents"), F.min((F.coalesce("n", F.lit(-1)) == F.coalesce("size", F.lit(0))).cast("int")).alias("same"))
+    return whole.join(most).select("documents", (F.col("most") <= 2048).alias("within"), (F.col("same") == 1).alias("whole"), (F.col("containers") * 2048 - F.col("tokens") <= 0.02 * F.col("containers") * 2048 + 2048).alias("tight"))
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), _t(spark, sf, "common_words"))
 
@@ -163,4 +203,10 @@ e AS (SELECT chunk_id, term, tf, df, row_n, col_n, n, row_n::DOUBLE * col_n / n
 SELECT chunk_id, term, tf, df, round((tf - e) / sqrt(e * (1 - row_n::DOUBLE / n) * (1 - col_n::DOUBLE / n)), 6) AS residual FROM e"""
     p6 = f"""WITH {_CHUNKS}, m AS (SELECT chunk_id, content, coalesce(c.max_chunk_size, d.max_chunk_size) AS m FROM ch LEFT JOIN chunk_configs c USING (config_id), (SELECT max_chunk_size FROM chunk_configs WHERE config_name = 'default') d)
 SELECT chunk_id, (CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[\\s\\x{{0b}}\\x{{85}}\\pZ.!?;。！？；।؟]'), lambda x: length(x))) > m THEN 1 ELSE 0 END)::BIGINT AS forced FROM m WHERE length(content) > m"""
-    return {"p1_found": p1, "p2_found": p2, "p3_found": p3, "p4_found": p4, "p4_scores": scores, "p6_found": p6}
+    members = f"""WITH {_CURRENT}, {_CHUNKS}, c AS (SELECT chunk_id AS id, content AS x FROM ch WHERE chunk_id IN (SELECT chunk_id FROM (SELECT chunk_id, arg_max(content IS NULL, ingested_at) AS gone FROM chunks GROUP BY chunk_id) WHERE NOT gone)),
+g AS (SELECT x, min(id) AS rep, count(*) AS copies FROM c GROUP BY x HAVING count(*) > 1), h AS (SELECT v, min(id) AS rep, count(*) AS copies FROM cur GROUP BY v HAVING count(*) > 1)
+SELECT id, rep, copies FROM c JOIN g USING (x) UNION ALL SELECT id, rep, copies FROM cur JOIN h USING (v)"""
+    limits = p6.replace(p6[p6.index("SELECT chunk_id, (CASE") :], "SELECT chunk_id, true AS within, true AS meet, true AS covers FROM m WHERE length(content) > m")
+    recall = f"WITH {_CURRENT} SELECT 10 * count(*) AS wanted, true AS at_least_90_percent FROM cur WHERE coalesce(try_cast(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) % 500 = 0, false)"
+    full = "SELECT count(*) AS documents, true AS within, true AS whole, true AS tight FROM documents"
+    return {"p2_membership": members, "p3_recall": recall, "p6_invariants": limits, "p9_invariants": full, "p1_found": p1, "p2_found": p2, "p3_found": p3, "p4_found": p4, "p4_scores": scores, "p6_found": p6}

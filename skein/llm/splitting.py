@@ -1,10 +1,11 @@
 """Problem 6: cutting oversized texts at natural boundaries.
 
 Every place of a text has a boundary strength: after a blank line, a line
-break, an end mark, a mark within a sentence, white space, or none. Places are
-kept with a strength only where there is one; a sparse table over them answers
-which cut is the strongest in any window, the rightmost among equals, in
-constant time. Pieces then follow each other: the strongest cut in the
+break, an end mark, a mark within a sentence, white space, or none. Only places
+with a boundary are kept; a sparse table over them answers which cut is the
+strongest in any window, the rightmost among equals, in constant time after
+the window's first and last boundary are looked up. No window is wider than the
+limit, so the table has as many levels as that needs, not the text. Pieces then follow each other: the strongest cut in the
 permissible window, a step back by the overlap, and so on.
 """
 
@@ -45,60 +46,56 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
-def has_forced_stretch(text: str, limit: int) -> bool:
-    """Whether a stretch longer than `limit` has neither white space nor an end mark."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    stop = np.nonzero(np.isin(c, _SPACE) | np.isin(c, np.array([ord(x) for x in ENDS], np.uint32)))[0]
-    edges = np.concatenate([[-1], stop, [len(c)]])
-    return bool((np.diff(edges) - 1 > limit).any())
-
-
 class RangeMaximum:
-    """Sparse table: the rightmost place of the greatest value in any range."""
+    """Sparse table over the boundaries of a text: the rightmost of the strongest in any window of at most `width` places."""
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        # Greater value first, then the greater place: one number holds both.
-        key = values.astype(np.int64) * (n + 1) + np.arange(n)
-        self.rows = [key]
+    def __init__(self, force: np.ndarray, width: int):
+        self.places = np.nonzero(force)[0]
+        self.force = force[self.places]
+        self.rows = [np.arange(len(self.places), dtype=np.int32)]
         step = 1
-        while 2 * step <= n:
+        while 2 * step <= min(len(self.places), width):
             a = self.rows[-1]
-            self.rows.append(np.maximum(a[:-step], a[step:]))
+            left, right = a[:-step], a[step:]
+            self.rows.append(np.where(self.force[left] > self.force[right], left, right))
             step *= 2
-        self.n = n
 
     def best(self, lo: int, hi: int) -> int:
-        """The place of the maximum in ``[lo, hi)``, which is not empty."""
-        k = (hi - lo).bit_length() - 1
-        row = self.rows[k]
-        return int(max(row[lo], row[hi - (1 << k)])) % (self.n + 1)
-
-
-def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+        """The place of the strongest boundary in ``[lo, hi)``, -1 if there is none."""
+        a, b = np.searchsorted(self.places, (lo, hi))
+        if a == b:
+            return -1
+        k = int(b - a).bit_length() - 1
+        left, right = self.rows[k][a], self.rows[k][b - (1 << k)]
+        return int(self.places[left if self.force[left] > self.force[right] else right])
+
+    def longest_stretch(self, end: int) -> int:
+        """The longest stretch up to place `end` without white space and end marks."""
+        # A boundary of strength 2 follows a mark within a sentence; the mark before any other is no part of a stretch.
+        stop = self.places[self.force != 2] - 1
+        return int((np.diff(np.concatenate([[-1], stop, [end]])) - 1).max())
+
+
+def cut(text: str, limit: int, overlap: int, table: RangeMaximum | None = None) -> list[tuple[int, int, int]]:
     """``(start, end, forced)`` of pieces of at most `limit` characters.
 
-    Each piece begins `overlap` characters before the end of the one before.
-    The cut is the strongest in the second half of what is permissible; a cut
-    without any natural place is forced (1). An overlap is less than half the
-    limit, a greater one is taken as that.
+    Each piece begins `overlap` characters before the end of the one before; an
+    overlap that leaves no room in a piece is taken as ``limit - 1``, a negative
+    one as 0. The cut is the strongest in the second half of what is permissible, else
+    in the first; a cut without any natural place is forced (1).
     """
     n = len(text)
     if n <= limit or limit < 1:
         return [(0, n, 0)]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
-    force = strengths(text)
-    table = RangeMaximum(force)
+    overlap = max(0, min(overlap, limit - 1))
+    table = table or RangeMaximum(strengths(text), limit)
     out, start = [], 0
     while n - start > limit:
-        lo = start + max(overlap + 1, limit // 2)
-        end = table.best(lo, start + limit + 1)
-        forced = 0
-        if force[end] == 0:
-            earlier = start + overlap + 1
-            end = table.best(earlier, start + limit + 1)
-            if force[end] == 0:
-                end, forced = start + limit, 1
+        end = table.best(start + max(overlap + 1, limit // 2), start + limit + 1)
+        if end < 0:
+            end = table.best(start + overlap + 1, start + limit + 1)
+        forced = int(end < 0)
+        end = start + limit if forced else end
         out.append((start, end, forced))
         start = end - overlap
     out.append((start, n, 0))
@@ -119,8 +116,9 @@ def split(texts: DataFrame) -> DataFrame:
             rows = []
             for i, t, m, o in zip(*(b.column(k).to_pylist() for k in ("id", "text", "limit", "overlap"))):
                 if len(t) > m:
-                    forced = int(has_forced_stretch(t, m))
-                    rows += [(i, k, s, e, t[s:e], forced) for k, (s, e, _) in enumerate(cut(t, m, o or 0))]
+                    table = RangeMaximum(strengths(t), m)
+                    forced = int(table.longest_stretch(len(t)) > m)
+                    rows += [(i, k, s, e, t[s:e], forced) for k, (s, e, _) in enumerate(cut(t, m, o or 0, table))]
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "piece", "start", "end", "content", "forced"])
 

@@ -97,10 +97,10 @@ def pair_cosine(pairs: DataFrame) -> DataFrame:
 def hash_head(rows: DataFrame, want: int, n: int) -> DataFrame:
     """The first `want` of `n` rows in the order of ``h``, ``id``, where ``h`` is a 64-bit hash.
 
-    Rows beyond twice the expected place are dropped first, so that tasks send
-    about that many rows to the driver in all rather than `want` each.
+    Rows beyond the expected place and six standard deviations are dropped first, so
+    that tasks send about `want` rows to the driver in all rather than each.
     """
-    share = min(1.0, 2 * want / max(1, n))
+    share = min(1.0, (want + 6 * want**0.5 + 16) / max(1, n))
     if share < 1:
         rows = rows.filter(F.col("h") <= int(-(2**63) + share * 2**64))
     return rows.orderBy("h", "id").limit(want)

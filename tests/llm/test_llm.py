@@ -1,6 +1,8 @@
 """Problems 1 to 10 against brute force, round trips and hand-made cases."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +11,6 @@ from pyspark.sql import functions as F
 from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, queries, sentences, splitting, tokens
 from skein.llm.vectors import current_records, unit
 
-tiktoken = pytest.importorskip("tiktoken")
 KIND = "id string, vector array<float>, updated_at bigint, n int"
 
 
@@ -156,16 +157,21 @@ def test_splitting(spark):
     rng = random.Random(2)
     for _ in range(200):
         text = "".join(rng.choice("ab c.!\nдж。 ") for _ in range(rng.randint(0, 300)))
-        limit, overlap = rng.randint(5, 60), rng.randint(0, 20)
+        limit, overlap = rng.randint(5, 60), rng.randint(0, 70)
         parts = splitting.cut(text, limit, overlap)
-        o = min(overlap, (limit - 1) // 2)
+        o = min(overlap, limit - 1)
         assert parts[0][0] == 0 and parts[-1][1] == len(text)
         assert all(e - s <= limit for s, e, _ in parts) and all(b[0] == a[1] - o for a, b in zip(parts, parts[1:]))
-    v = np.array([rng.randint(0, 4) for _ in range(50)], np.int8)
-    t = splitting.RangeMaximum(v)
-    for a in range(50):
-        for b in range(a + 1, 51):
-            assert t.best(a, b) == max(range(a, b), key=lambda i: (v[i], i))
+        table = splitting.RangeMaximum(splitting.strengths(text), limit)
+        longest = max(map(len, re.split(r"[\s.!?;。！？；।؟]", text)))
+        assert table.longest_stretch(len(text)) == longest
+    v = np.array([rng.choice((0, 0, 1, 2, 3)) for _ in range(60)], np.int8)
+    t = splitting.RangeMaximum(v, 40)
+    for a in range(60):
+        for b in range(a + 1, min(60, a + 40) + 1):
+            want = max(range(a, b), key=lambda i: (v[i], i))
+            assert t.best(a, b) == (want if v[want] else -1)
+    assert len(splitting.RangeMaximum(splitting.strengths("a b. " * 100_000), 64).rows) <= 7
     df = spark.createDataFrame([("a", "x" * 30, 10, 2), ("b", "short", 10, 2), ("c", "aa bb cc dd ee", 10, 2), ("n", None, 10, 2), ("m", "text", None, 1)], "id string, text string, limit int, overlap int")
     r = splitting.split(df).collect()
     assert {x.id: x.forced for x in r} == {"a": 1, "c": 0}
@@ -184,6 +190,8 @@ def test_splitting(spark):
         ("他说：“好了！”然后离开。再见。", ["他说：“好了！”然后离开。", "再见。"]),
         ("¿Está? ¡Sí! (Bien.) Fin", ["¿Está?", "¡Sí!", "(Bien.)", "Fin"]),
         ("ระบบดี ทีมงานโหลด", ["ระบบดี", "ทีมงานโหลด"]), ("यह है। वह है।", ["यह है।", "वह है।"]), ("هل هذا؟ نعم.", ["هل هذا؟", "نعم."]),
+        ("I like modern art. He paints.", ["I like modern art.", "He paints."]), ("The answer is no. We left.", ["The answer is no.", "We left."]), ("Set it to max. Then run.", ["Set it to max.", "Then run."]),
+        ("It is plan B. We go.", ["It is plan B.", "We go."]), ("Vitamin C. It helps.", ["Vitamin C.", "It helps."]), ("Voir art. 5 et M. Dupont.", ["Voir art. 5 et M. Dupont."]), ("By J. R. Smith. Das ist z. B. Text.", ["By J. R. Smith.", "Das ist z. B. Text."]),
         ("No. Use it. See No. 5 now.", ["No.", "Use it.", "See No. 5 now."]), ("", []), (None, []), (" \n\n ", []),
     ],
 )
@@ -196,6 +204,8 @@ def test_tokens(spark):
     import base64
     from pathlib import Path
 
+    tiktoken = pytest.importorskip("tiktoken")
+
     data = Path(tokens.VOCABULARY).read_bytes()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     ref = tiktoken.Encoding("own", pat_str=tokens.SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -228,24 +238,105 @@ def test_packing(spark):
     assert {r.id for r in rows if r.piece == 1} == {1, 5} and packing.fill(df.limit(0)).count() == 0
 
 
+COMMON = "the of and a to was by it are some".split()
+PROSE = "The vector was stored by the team, and it was read again in {} minutes. Some of the rows of {} are old, and the index of {} was built.\n"
+
+
+def prose(k, n=40):
+    """Different texts of plain sentences."""
+    rng = random.Random(k)
+    name = lambda: "".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(3))
+    return ["".join(PROSE.format(rng.randint(2, 90), name(), name()) for _ in range(1)) for _ in range(n)]
+
+
 def test_quality(spark):
-    prose = "The vector was stored by the team, and it was read again. Some of the rows are old.\n" * 1
+    one = prose(9, 1)[0]
     docs = {
-        1: prose, 2: "\n".join(f"- item {w}" for w in ("red", "blue", "green", "grey", "black")), 3: "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", 4: "again and again " * 60,
-        5: "7392 8 305726533 7 4597 34 46107020", 6: None, 7: "  \n", 8: prose + "\n- one\n- two\n\n" + prose, 9: "lpvdq wyfjxodrczo ywlkckzdfptqq jqoz zukx otnhmjq jkllflcdhw nhwmhlno sndtx bcdf ghjk lmnp",
+        1: one, 2: "\n".join(f"- item {w}" for w in ("red", "blue", "green", "grey", "black")), 3: "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", 4: "again and again " * 60,
+        5: "7392 8 305726533 7 4597 34 46107020", 6: None, 7: "  \n", 8: one + "\n- one\n- two\n\n" + one, 9: "lpvdq wyfjxodrczo ywlkckzdfptqq jqoz zukx otnhmjq jkllflcdhw nhwmhlno sndtx bcdf ghjk lmnp",
     }
-    df = spark.createDataFrame([(i, t, "en") for i, t in docs.items()], "id int, text string, lang string")
-    common = spark.createDataFrame([("en", w) for w in "the of and a to was by it are some".split()], "lang string, word string")
-    got = {r.id: r.form for r in quality.judge(df, common).collect()}
+    rows = [(i, t, "en") for i, t in docs.items()] + [(100 + i, t, "en") for i, t in enumerate(prose(1))]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    common = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    got = {r.id: r.form for r in quality.judge(df, common).collect() if r.id < 100 or r.form != "prose"}
     assert got == {1: "prose", 2: "list", 3: "table", 4: "junk", 5: "junk", 8: "prose", 9: "junk"}
     assert quality.judge(df.limit(0), common).count() == 0
 
 
 def test_quality_of_a_majority(spark):
     listed = "\n".join(f"- item {w}" for w in ("red", "blue", "green", "grey", "black"))
-    prose = "The vector was stored by the team, and it was read again. Some of the rows are old.\n"
-    rows = [(i, listed, "de") for i in range(9)] + [(9, prose, "de"), (10, "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", "fr")]
+    rows = [(i, listed, "de") for i in range(90)] + [(100 + i, t, "de") for i, t in enumerate(prose(2))] + [(99, "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", "fr")]
     df = spark.createDataFrame(rows, "id int, text string, lang string")
-    common = spark.createDataFrame([(g, w) for g in ("en", "de", "fr") for w in "the of and a to was by it are some".split()], "lang string, word string")
-    got = {r.id: r.form for r in quality.judge(df, common).collect()}
-    assert got == {**{i: "list" for i in range(9)}, 9: "prose", 10: "table"}
+    common = spark.createDataFrame([(g, w) for g in ("en", "de", "fr") for w in COMMON], "lang string, word string")
+    got = {r.id: r.form for r in quality.judge(df, common).collect() if r.form != "prose"}
+    assert got == {**{i: "list" for i in range(90)}, 99: "table"}
+
+
+def test_quality_is_told_by_the_sketches(spark, monkeypatch):
+    listed = "\n".join(f"- item {w}" for w in ("red", "blue", "green", "grey", "black"))
+    df = spark.createDataFrame([(0, listed, "en")] + [(1 + i, t, "en") for i, t in enumerate(prose(3))], "id int, text string, lang string")
+    common = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    assert [r.id for r in quality.judge(df, common).filter("form <> 'prose'").collect()] == [0]
+    constants = lambda m: m.select("lang").distinct().select("lang", *[x for c in quality.COLUMNS for x in (F.lit(0.0).alias(f"{c}_mid"), F.lit(1e9).alias(f"{c}_dev"))], F.lit(0.0).alias("common_share_low"))
+    monkeypatch.setattr(quality, "sketches", constants)
+    assert quality.judge(df, common).filter("form <> 'prose'").count() == 0
+
+
+def test_many_texts_of_one_template(spark):
+    rng = random.Random(7)
+    template = " ".join(f"t{i}" for i in range(45))
+    rows = [(f"m{i:04}", template + " " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(600)]
+    rows += [("p1", rows[0][1].replace("t20", "x")), ("p2", rows[599][1] + " more words here")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {(r.id_a, r.id_b) for r in neardup.similar_texts(df).collect()} == {("m0000", "p1"), ("m0599", "p2")}
+    # The exact way alone: all pairs that may be similar, but not those that share the template only.
+    pairs = {(r.a, r.b) for r in neardup.prefix_pairs(df, 3, 0.5).collect()}
+    assert pairs >= {("m0000", "p1"), ("m0599", "p2")} and len(pairs) < 100
+
+
+def test_hot_vectors(spark):
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal(128)
+    x = c / np.linalg.norm(c) + 0.0079 * rng.standard_normal((150, 128))
+    u = unit(x, np.float64)
+    want = {(f"v{i:04}", f"v{j:04}") for i in range(150) for j in range(i + 1, 150) if u[i] @ u[j] >= 0.99}
+    got = {(r.id_a, r.id_b) for r in neardup.similar_vectors(current_records(records(spark, x))).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
+
+
+def test_membership(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", "y", 3), ("d", None, 4), (None, "x", 5)], "id string, text string, rep int")
+    assert {tuple(r) for r in neardup.membership(df, "text").collect()} == {("a", "a", 2), ("b", "a", 2)}
+
+
+def test_sentences_of_long_texts():
+    began = time.time()
+    assert len(sentences.starts('He said "it is so. Really" and left. ' * 30_000)) == 30_000
+    sentences.starts("(" * 50_000 + "]." * 50_000)
+    assert time.time() - began < 30
+
+
+def test_markup_of_any_depth_and_length():
+    began = time.time()
+    assert markup.render("<div>" * 5000 + "x</p></b>" + "</div>" * 5000) == "x"
+    assert markup.render("<blockquote>" * 3000 + "<p>x</p>" + "</blockquote>" * 3000).endswith("> x")
+    assert markup.render("{{a|" * 50 + "x" + "}}" * 50, ["wiki"]) == "x" and markup.render("\\textbf{" * 50 + "x" + "}" * 50, ["latex"]) == "x"
+    assert markup.detect("so $x^2" + " + x" * 200 + "$ holds") == ["latex"]
+    assert markup.render("text <span style='display:none'>hid</span> **b** <i>x</i>") == "text  b x"
+    assert markup.render("use the <script> tag in <b>this</b> text <b unfinished") == "use the <script> tag in this text <b unfinished"
+    assert markup.render("<ul><li>a<ol><li>b<li>c</ol><li><p>d<p>e</ul>x<ul></ul>") == "- a\n  1. b\n  2. c\n- d\n  e\n\nx"
+    assert markup.render("**m** `<b>` and <table><tr><td>1<td><b>2</b></table>") == "m `<b>` and \n1 | 2"
+    assert time.time() - began < 30
+
+
+def test_levels_of_lists():
+    rng = np.random.default_rng(3)
+    upper = unit(rng.standard_normal((8, 128)))
+    lower = [unit(u + 0.05 * rng.standard_normal((k, 128))) for u, k in zip(upper, (5, 1, 7, 3, 2, 9, 4, 6))]
+    sample = unit(np.concatenate(lower)[rng.integers(0, 37, 300)] + 0.02 * rng.standard_normal((300, 128)))
+    ix = neighbours.IvfPq(upper, lower, sample)
+    s = sample @ np.concatenate(lower).T
+    assert (ix.nearest(sample, 3) == np.argsort(-s, axis=1)[:, :3]).mean() > 0.98
+    cell = ix.nearest(sample, 1)[:, 0]
+    codes = ix.encode(sample, cell)
+    assert np.allclose(ix.scores(sample[:3], codes, cell), sample[:3] @ ix.decode(codes, cell).T, atol=1e-3)
