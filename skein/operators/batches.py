@@ -70,10 +70,13 @@ def kmeans_plusplus(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.n
         c.append(x[i])
         d = np.minimum(d, ((x - x[i]) ** 2).sum(axis=1))
     c = np.stack(c)
+    own = (x * x).sum(axis=1)
     for _ in range(rounds):
-        dist = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * x @ c.T
+        dist = own[:, None] + (c * c).sum(axis=1)[None] - 2 * x @ c.T
         at = dist.argmin(axis=1)
-        new = np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
+        order, n = np.argsort(at, kind="stable"), np.bincount(at, minlength=k)
+        has, new = n > 0, c.copy()
+        new[has] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n)[:-1]])[has], axis=0) / n[has, None]
         if np.allclose(new, c):
             break
         c = new

@@ -10,8 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,12 @@ SAMPLE = 20_000
 
 
 def _sample(docs: DataFrame, n: int = SAMPLE) -> np.ndarray:
-    rows = docs.select("vector", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(n).select("vector").toPandas()
+    rows, total = docs.select("vector", F.xxhash64("id").alias("h"), "id"), docs.count()
+    # Rows well beyond the place in hash order do not go to the driver.
+    share = (n + 6 * n**0.5 + 16) / max(1, total)
+    if share < 1:
+        rows = rows.filter(F.col("h") <= int(-(2**63) + share * 2**64))
+    rows = rows.orderBy("h", "id").limit(n).select("vector").toPandas()
     return np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
 
 
@@ -48,14 +51,11 @@ class Centroids:
 
     @classmethod
     def train(cls, docs: DataFrame, k: int, metric: str = "euclidean", rounds: int = 25, seed: int = 42) -> Centroids:
-        n = docs.count()
-        if n == 0:
-            return cls([], metric)
-        model = KMeans(k=min(k, n), maxIter=rounds, seed=seed, initMode="k-means||").fit(docs.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
-        return cls([c.tolist() for c in model.clusterCenters()], metric)
+        """k-means++ and Lloyd's steps on a sample of `SAMPLE` records, the first in hash order."""
+        from skein.operators.batches import kmeans_plusplus
 
-    def distances(self, v: str = "vector") -> F.Column:
-        return F.array(*[F.struct(V.index_distance(F.col(v), literal(c), self.metric, "ivf").alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.points)])
+        x = _sample(docs)
+        return cls(kmeans_plusplus(x, min(k, len(x)), rounds, seed)[0].tolist() if len(x) else [], metric)
 
     def assign(self, docs: DataFrame) -> DataFrame:
         """`docs` with ``cell`` by matrix products in Arrow batches."""
@@ -176,9 +176,13 @@ class Lsh:
         bits = [F.when(V.dot(F.col(v), literal(p)) > float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, (p, t) in enumerate(zip(self.planes, self.offsets))]
         return sum(bits[1:], bits[0]).cast("bigint")
 
+    def of(self, query) -> int:
+        """The signature of a query."""
+        return sum(1 << i for i in range(len(self.planes)) if float(self.planes[i] @ np.asarray(query, float)) > self.offsets[i])
+
     def search(self, signed: DataFrame, query, k: int = 10) -> DataFrame:
         """Records of a signature within one bit of the query's; all records if these are fewer than `k`."""
-        s = sum(1 << i for i in range(len(self.planes)) if float(self.planes[i] @ np.asarray(query, float)) > self.offsets[i])
+        s = self.of(query)
         near = signed.filter(V.hamming(F.col("sig"), F.lit(s).cast("bigint")) <= 1)
         if near.limit(k).count() < k:
             near = signed
@@ -187,7 +191,12 @@ class Lsh:
 
 @dataclass
 class HashBuckets:
-    """Several weighted-sign hashes: bit ``i mod 64`` of a key is set where ``v[i] w[i] > 0``."""
+    """Several weighted-sign hashes: bit ``i mod 64`` of a key is set where ``v[i] w[i] > 0``.
+
+    Buckets are exact matches of a key, so vectors of up to 64 values meet only
+    if all their signs agree, under one function as under any other: the index
+    finds near copies, not the k most similar.
+    """
 
     weights: np.ndarray
 

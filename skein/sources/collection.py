@@ -1,7 +1,8 @@
-"""Collections: versioned Parquet snapshots of ``(id, vector, tags, dimension, created_at, updated_at)``.
+"""Collections: versioned tables of ``(id, vector, tags, dimension, created_at, updated_at)``.
 
-A write makes a new snapshot ``v=N`` and then its manifest; readers see the
-latest version that has one, so a write that fails leaves the old one in place.
+A write adds a folder with the rows that it changes and publishes a version; see
+`skein.sources.versions`. Readers see the latest version, so a write that fails
+leaves the old one in place.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from skein.errors import DatabaseError, DimensionMismatch, DuplicateVector, InvalidVector, VectorNotFound
 from skein.functions import vectors as V
 from skein.operators import search as S
+from skein.session import cut_lineage
+from skein.sources.versions import VersionedTable
 
 SCHEMA = "id string, vector array<float>, tags map<string,string>, dimension int, created_at bigint, updated_at bigint"
 
@@ -26,45 +29,26 @@ class Collection:
             raise DatabaseError(f"unknown metric {metric!r}")
         self.spark, self.path, self.dimension, self.algorithm, self.metric = spark, path.rstrip("/"), dimension, algorithm, metric
 
-    # Snapshots
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self.table = VersionedTable(spark, self.path, SCHEMA)
 
     def versions(self) -> list[int]:
-        fs, P = self._fs()
-        root = P(self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit())
+        return self.table.versions()
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = self.versions()
-        if not v:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={v[-1] if version is None else version}")
+        return self.table.read(version)
 
-    def _commit(self, df: DataFrame) -> None:
-        n = max(self.versions(), default=0) + 1
-        df.select("id", "vector", "tags", "dimension", "created_at", "updated_at").write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        fs, P = self._fs()
-        fs.create(P(f"{self.path}/manifest-{n}"), False).close()
+    def compact(self) -> None:
+        self.table.compact()
 
     def vacuum(self, keep: int = 2) -> None:
-        fs, P = self._fs()
-        for n in self.versions()[:-keep]:
-            fs.delete(P(f"{self.path}/manifest-{n}"), False)
-            fs.delete(P(f"{self.path}/v={n}"), True)
+        self.table.vacuum(keep)
 
     # Writes. New rows are ``(id, vector[, tags])``.
 
-    def _new(self, rows: DataFrame) -> DataFrame:
+    def _new(self, rows: DataFrame, *more: str) -> DataFrame:
         if "tags" not in rows.columns:
             rows = rows.withColumn("tags", F.lit(None).cast("map<string,string>"))
-        return rows.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("tags").cast("map<string,string>").alias("tags"))
+        return rows.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("tags").cast("map<string,string>").alias("tags"), *more)
 
     def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Accepted rows, and rejected ones with ``error``; of repeated ids the first accepted by vector order stays."""
@@ -95,47 +79,63 @@ class Collection:
             if kind == "DimensionMismatch":
                 raise DimensionMismatch(self.dimension or self.infer_dimension(), who)
             raise {"DuplicateVector": DuplicateVector, "InvalidVector": InvalidVector}[kind](who)
-        self._commit(self.read().unionByName(self._stamp(good, int(time.time()))))
+        self.table.append(self._stamp(good, int(time.time())), new=True)
         return bad
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Insert or replace by id; ``created_at`` stays, tags stay where none are given."""
-        self._merge(rows, insert=True)
+    def upsert(self, rows: DataFrame) -> DataFrame:
+        """Insert or replace by id; the rejected rows with their error.
 
-    def update(self, rows: DataFrame) -> None:
-        new = self._new(rows)
-        if missing := new.join(self.read().select("id"), "id", "left_anti").select("id").limit(1).collect():
+        ``created_at`` stays, tags stay where none are given. Of repeated ids the
+        row of greatest ``seq`` counts if there is such a column, else that of
+        the greatest vector.
+        """
+        return self._merge(rows, insert=True)
+
+    def update(self, rows: DataFrame) -> DataFrame:
+        """As `upsert`, but an id that is not there raises before anything is written."""
+        if missing := rows.select(F.col("id").cast("string")).join(self.read().select("id"), "id", "left_anti").select("id").limit(1).collect():
             raise VectorNotFound(missing[0]["id"])
-        self._merge(rows, insert=False)
+        return self._merge(rows, insert=False)
 
-    def _merge(self, rows: DataFrame, insert: bool) -> None:
+    def _merge(self, rows: DataFrame, insert: bool) -> DataFrame:
         now = int(time.time())
-        new = self._new(rows).filter(V.is_valid("vector"))
+        seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+        new = self._new(rows.withColumn("seq", seq), "seq")
         dim = self.dimension or self.infer_dimension()
-        if dim and (other := new.filter(F.size("vector") != dim).select(F.size("vector").alias("n")).limit(1).collect()):
-            raise DimensionMismatch(dim, other[0]["n"])
-        new = new.groupBy("id").agg(F.max(F.struct("vector", F.map_entries("tags").alias("t"))).alias("r")).select("id", F.col("r.vector").alias("nv"), F.map_from_entries("r.t").alias("nt"))
-        both = self.read().join(new, "id", "full" if insert else "left")
+        error = F.when(F.col("id").isNull(), F.lit("InvalidVector: no id")).when(~V.is_valid("vector"), F.lit("InvalidVector"))
+        if dim:
+            error = error.when(F.size("vector") != dim, F.lit("DimensionMismatch"))
+        marked = cut_lineage(new.withColumn("error", error))
+        good = marked.filter("error IS NULL").groupBy("id").agg(F.max(F.struct("seq", "vector", F.map_entries("tags").alias("t"))).alias("r"))
+        good = good.select("id", F.col("r.vector").alias("nv"), F.map_from_entries("r.t").alias("nt"))
+        both = good.join(self.read(), "id", "left" if insert else "inner")
         tags = F.when(F.coalesce(F.size("nt"), F.lit(-1)) > 0, F.col("nt")).otherwise(F.coalesce("tags", F.create_map().cast("map<string,string>")))
-        vector = F.coalesce("nv", "vector")
-        stamp = F.when(F.col("nv").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))
-        self._commit(both.select("id", vector.alias("vector"), tags.alias("tags"), F.size(vector).alias("dimension"), F.coalesce("created_at", F.lit(now)).alias("created_at"), stamp.cast("bigint").alias("updated_at")))
+        stamps = (F.coalesce("created_at", F.lit(now)).cast("bigint").alias("created_at"), F.lit(now).cast("bigint").alias("updated_at"))
+        # Only the changed rows are written; the table's last row of an id counts.
+        self.table.append(both.select("id", F.col("nv").alias("vector"), tags.alias("tags"), F.size("nv").alias("dimension"), *stamps))
+        return marked.filter("error IS NOT NULL").select("id", "vector", "tags", "error")
 
     def delete(self, ids: DataFrame) -> None:
-        if missing := ids.select("id").join(self.read().select("id"), "id", "left_anti").limit(1).collect():
+        ids = ids.select("id").distinct()
+        if missing := ids.join(self.read().select("id"), "id", "left_anti").limit(1).collect():
             raise VectorNotFound(missing[0]["id"])
-        self._commit(self.read().join(ids.select("id"), "id", "left_anti"))
+        self.table.append(self.read().limit(0), gone=ids)
 
     # Reads
 
-    def get(self, id_: str) -> DataFrame:
-        r = self.read().filter(F.col("id") == id_)
-        if not r.limit(1).count():
-            raise VectorNotFound(id_)
-        return r
-
-    def list_ids(self, limit: int | None = None, offset: int = 0) -> DataFrame:
-        r = self.read().select("id").orderBy("id").offset(offset)
+    def get(self, *ids: str) -> DataFrame:
+        """The records of these ids, in one job whose predicate reaches the files; an unknown one raises."""
+        rows = self.table.read(where=F.col("id").isin(*ids)).collect()
+        if missing := set(ids) - {r["id"] for r in rows}:
+            raise VectorNotFound(min(missing))
+        return self.spark.createDataFrame(rows, SCHEMA)
+
+    def list_ids(self, limit: int | None = None, after: str | None = None, ordered: bool = True) -> DataFrame:
+        """Ids in order. A page follows the last id of the one before, so it reads no more than it gives away."""
+        r = self.read().select("id")
+        if after is not None:
+            r = r.filter(F.col("id") > after)
+        r = r.orderBy("id") if ordered or limit is not None else r
         return r if limit is None else r.limit(limit)
 
     def __len__(self) -> int:

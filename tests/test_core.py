@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein import errors
 from skein.functions import vectors as V
-from skein.operators import chunkers, evaluation, fusion, indexes, rag, search, tensor, textindex
+from skein.operators import chunkers, evaluation, fusion, graph, indexes, rag, search, stored, tensor, textindex
 from skein.operators import filters as T
 from skein.sources import embedders
 from skein.sources.collection import Collection
@@ -180,7 +180,12 @@ def test_collection(spark, tmp_path):
     a = c.get("a").collect()[0]
     assert a.tags == {"k": "v"} and a.vector == [0.5, 0.5]
     c.upsert(row("z", [9.0, 9.0], {"n": "1"}))
-    assert [r.id for r in c.list_ids(2, 1).collect()] == ["b", "z"]
+    assert [r.id for r in c.list_ids(2, "a").collect()] == ["b", "z"]
+    bad = c.upsert(spark.createDataFrame([("b", [math.nan, 1.0], None), ("w", [1.0], None)], VEC)).collect()
+    assert {r.id: r.error for r in bad} == {"b": "InvalidVector", "w": "DimensionMismatch"} and c.get("b").collect()[0].vector == [0.0, 1.0]
+    twice = spark.createDataFrame([("b", [5.0, 5.0], 1), ("b", [1.0, 2.0], 2)], "id string, vector array<float>, seq int")
+    c.upsert(twice)
+    assert c.get("b").collect()[0].vector == [1.0, 2.0]
     assert c.search([9.0, 9.0], 1).collect()[0].id == "z"
     c.delete(row("z", None).select("id"))
     with pytest.raises(errors.VectorNotFound):
@@ -188,8 +193,14 @@ def test_collection(spark, tmp_path):
     with pytest.raises(errors.VectorNotFound):
         c.delete(row("z", None).select("id"))
     assert c.stats().collect()[0].total_vectors == 2
+    late = Collection(spark, str(tmp_path / "c"))
+    late.table.versions = lambda known=late.table.versions(): known[:-1]  # a writer that has not seen the last version
+    with pytest.raises(errors.DatabaseError):
+        late.create(row("q", [1.0, 1.0]))
+    assert len(c) == 2
+    c.compact()
     c.vacuum(1)
-    assert len(c.versions()) == 1 and len(c) == 2
+    assert len(c.versions()) == 1 and len(c) == 2 and len(c.table.manifest()["folders"]) == 1
 
 
 def test_rag(spark):
@@ -221,3 +232,54 @@ def test_token_bucket(spark):
     assert [r[0] for r in paths] == ["/vectors/:id", "/vectors/batch", "/search"]
     ips = spark.createDataFrame([("1.2.3.4, 5.6.7.8", None), (None, "9.9.9.9"), ("", None)], "f string, r string").select(serving.client_ip("f", "r")).collect()
     assert [r[0] for r in ips] == ["1.2.3.4", "9.9.9.9", "127.0.0.1"]
+
+
+@pytest.mark.parametrize("kind", stored.KINDS)
+def test_stored_indexes(spark, tmp_path, kind):
+    df, x = docs(spark, 90)
+    path = str(tmp_path / kind)
+    ix = stored.StoredIndex(spark, path, kind, nlist=6, codes=16, restarts=1, rounds=10, m=4)
+    assert ix.search([0.0] * 8).count() == 0
+    df = df.select("id", "vector")
+    ix.build(df.filter("id < 'd060'"))
+    ix.insert(df.filter("id >= 'd060'"))
+    ix.remove(df.filter("id IN ('d007', 'd070')"))
+    ix.update(df.filter("id = 'd010'").withColumn("vector", F.transform("vector", lambda v: -v)))
+    with pytest.raises(errors.DuplicateVector):
+        ix.insert(df.filter("id = 'd001'"))
+    with pytest.raises(errors.VectorNotFound):
+        ix.remove(df.filter("id = 'd007'"))
+    with pytest.raises(errors.VectorNotFound):
+        ix.update(df.filter("id = 'd007'"))
+    again = stored.StoredIndex(spark, path, kind)  # loads what was trained
+    now = x.astype(float).copy()
+    now[10] *= -1
+    d = np.sqrt(((now - x[5]) ** 2).sum(axis=1))
+    d[[7, 70]] = np.inf
+    want = [f"d{i:03}" for i in np.argsort(d, kind="stable")[:5]]
+    got = [r.id for r in again.search(x[5].tolist(), 5, nprobe=6, ef=40).collect()]
+    assert len(again) == 88 and len(got) == 5 and not {"d007", "d070"} & set(got)
+    if kind in ("linear", "ivf", "es4d"):
+        assert got == want
+    elif kind == "hnsw":
+        assert len(set(got) & set(want)) >= 4
+    else:
+        assert got[0] == "d005" or kind == "pq"
+    if kind in ("sq8", "pq"):
+        assert [r.id for r in again.search(x[5].tolist(), 5, candidates=60).collect()][:3] == want[:3]
+    with pytest.raises(errors.DimensionMismatch):
+        again.search([1.0], 5)
+    with pytest.raises(errors.DatabaseError):
+        stored.StoredIndex(spark, path, "lsh" if kind != "lsh" else "pq")
+
+
+def test_graph_recall():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 32))
+    near = graph.link(x, 4, "euclidean")
+    hit = {10: 0, 200: 0}
+    for q in x[:40] + 0.1:
+        want = set(np.argsort(((x - q) ** 2).sum(axis=1))[:10].tolist())
+        for ef in hit:
+            hit[ef] += len(want & {i for _, i in graph.walk(x, near, q, max(10, ef), "euclidean")[:10]})
+    assert hit[200] >= 0.9 * 400 and hit[200] > hit[10]
