@@ -1,14 +1,17 @@
 """Chunkers as table functions: texts in, pieces with places and metadata out.
 
 Sizes and places are characters (code points). A chunker works on spans of the
-text, so pieces are slices of it and together cover it; overlap is added
-afterwards from the neighbouring pieces. Rows of ``(id, text)`` with a null or
+text, so pieces are slices of it, none exceeds ``max_chunk_size``, and together
+they cover the text. Overlap is given beside a piece as ``context_before`` and
+``context_after`` in its metadata, or with ``overlap_in_content`` joined to it;
+windows of fixed size overlap themselves. Rows of ``(id, text)`` with a null or
 blank text give no piece.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,13 +20,18 @@ from pyspark.sql import functions as F
 
 Span = tuple[int, int, str]
 
+# The patterns that texts are analysed with, and the names of the metadata.
 _SENTENCE = re.compile(r"[.!?]+\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _HEADING = re.compile(r"^#{1,6}\s+")
 _LIST = re.compile(r"^\s*[-*+]\s+")
 _URL = re.compile(r"https?://\S+")
-_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")
-_PHONE = re.compile(r"(?:\+?\d{1,3}[-. ]?)?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b")
+_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.ASCII)
+_PHONE = re.compile(r"(?:\+?\d{1,3}[-. ]?)?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b", re.ASCII)
+_LINK = re.compile(r"\[[^\]]+\]\([^)]+\)")
+_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)")
+_FENCED = re.compile(r"(?m)^```[\s\S]*?^```")
+_COMMENT_SIGNS = ("//", "#", "/*", "*")
 #: Words that mark a transition between sentences.
 TRANSITIONS = ("however", "therefore", "furthermore", "moreover", "additionally", "consequently")
 
@@ -36,10 +44,14 @@ class ChunkingConfig:
     min_chunk_size: int = 100
     strategy: str = "adaptive"
     dynamic_sizing: bool = True
+    context_window: int = 100
+    overlap_in_content: bool = False
 
     def __post_init__(self):
         if not 0 <= self.overlap_size < self.max_chunk_size:
             raise ValueError("the overlap must be smaller than the size")
+        if self.strategy not in ("adaptive", "fixed", "semantic", "hybrid"):
+            raise ValueError(f"unknown strategy {self.strategy!r}")
 
 
 # Windows and boundaries as Columns
@@ -108,8 +120,18 @@ def _pack(spans: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def _windows(a: int, b: int, size: int) -> list[tuple[int, int]]:
-    return [(i, min(b, i + size)) for i in range(a, b, size)]
+def _windows(a: int, b: int, size: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Windows over ``[a, b)``; the last reaches `b`."""
+    out = []
+    while b - a > size:
+        out.append((a, a + size))
+        a += size - overlap
+    return [*out, (a, b)]
+
+
+def _fit(spans: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
+    """Neighbouring spans packed within the limit; one that exceeds it alone is cut."""
+    return [w for a, b in _pack(spans, limit) for w in _windows(a, b, limit)]
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -117,133 +139,191 @@ def _lines(text: str) -> list[tuple[int, int]]:
 
 
 def document_spans(text: str, c: ChunkingConfig) -> list[Span]:
+    """Paragraphs packed to the size; if one exceeds it, sentences packed instead; windows without semantics."""
     if not c.preserve_semantics:
-        return [(a, b, "fixed") for a, b in _windows(0, len(text), c.max_chunk_size - c.overlap_size or 1)]
+        return [(a, b, "fixed") for a, b in _windows(0, len(text), c.max_chunk_size, c.overlap_size)]
     spans = _pack(_cut_at(text, _PARAGRAPH), c.max_chunk_size)
     if all(b - a <= c.max_chunk_size for a, b in spans):
         return [(a, b, "paragraph") for a, b in spans]
-    parts = [p for s in _pack(_cut_at(text, _SENTENCE), c.max_chunk_size) for p in ([s] if s[1] - s[0] <= c.max_chunk_size else _windows(*s, c.max_chunk_size))]
-    return [(a, b, "sentence") for a, b in parts]
+    return [(a, b, "sentence") for a, b in _fit(_cut_at(text, _SENTENCE), c.max_chunk_size)]
 
 
-def markdown_blocks(text: str) -> list[Span]:
-    out: list[Span] = []
-    fenced = False
+def _runs(text: str, kind_of, limit: int) -> list[Span]:
+    """Runs of lines of one kind, packed within the limit. `kind_of` gives a line's kind and whether it begins a run."""
+    runs: list[tuple[str, list[tuple[int, int]]]] = []
     for a, b in _lines(text):
-        line = text[a:b].strip()
-        if line.startswith("```"):
-            kind = "code_block"
-            fenced = not fenced
-        elif fenced:
-            kind = "code_block"
-        elif _HEADING.match(line):
-            kind = "heading"
-        elif _LIST.match(text[a:b]) or re.match(r"\d+\.\s", line):
-            kind = "list"
-        elif line.startswith(">"):
-            kind = "quote"
-        elif "|" in line:
-            kind = "table"
-        else:
-            kind = "paragraph" if line else "empty"
-        if out and out[-1][2] == kind and kind != "heading" and not (kind == "code_block" and line.startswith("```") and fenced):
-            out[-1] = (out[-1][0], b, kind)
+        kind, begins = kind_of(text[a:b])
+        if runs and runs[-1][0] == kind and not begins:
+            runs[-1][1].append((a, b))
         else:
-            out.append((a, b, kind))
-    return out
+            runs.append((kind, [(a, b)]))
+    return [(a, b, kind) for kind, lines in runs for a, b in _fit(lines, limit)]
+
+
+def markdown_blocks(text: str, limit: int = 1 << 30) -> list[Span]:
+    """Blocks by the kind of their lines."""
+    fenced = False
+
+    def kind_of(line: str):
+        nonlocal fenced
+        bare = line.strip()
+        if bare.startswith("```"):
+            fenced = not fenced
+            return "code_block", fenced
+        if fenced:
+            return "code_block", False
+        if _HEADING.match(bare):
+            return "heading", True
+        if _LIST.match(line) or re.match(r"\d+\.\s", bare):
+            return "list", False
+        if bare.startswith(">"):
+            return "quote", False
+        if bare.startswith("|"):
+            return "table", False
+        return ("paragraph" if bare else "empty"), False
+
+    return _runs(text, kind_of, limit)
 
 
 def markdown_spans(text: str, c: ChunkingConfig) -> list[Span]:
+    """Sections by headings; with one section or none, blocks; lines without semantics."""
+    limit = c.max_chunk_size
     if not c.preserve_semantics:
-        return [(a, b, "lines") for a, b in _pack(_lines(text), c.max_chunk_size)]
-    blocks = markdown_blocks(text)
-    if sum(1 for x in blocks if x[2] == "heading") <= 1:
-        return blocks
-    out: list[Span] = []
-    for a, b, kind in blocks:
-        if out and kind != "heading" and b - out[-1][0] <= c.max_chunk_size:
-            out[-1] = (out[-1][0], b, "section")
-        else:
-            out.append((a, b, "section"))
-    return out
+        return [(a, b, "mixed") for a, b in _fit(_lines(text), limit)]
+    sections = _runs(text, lambda line: ("section", bool(_HEADING.match(line.strip()))), limit)
+    return sections if len(sections) > 1 else markdown_blocks(text, limit)
 
 
 _FUNCTION = re.compile(r"^\s*(?:(?:public|private|protected|pub|export|static|async)\s+)*(?:function|def|fn|func)\s+\w+")
 _CLASS = re.compile(r"^\s*(?:(?:public|private|protected|pub|export|abstract|final)\s+)*(?:class|struct|interface|trait|enum|impl)\s+\w+")
 
 
-def code_spans(text: str, c: ChunkingConfig) -> list[Span]:
-    if not c.preserve_semantics:
-        return [(a, b, "lines") for a, b in _pack(_lines(text), c.max_chunk_size)]
-    out: list[Span] = []
-    depth = indent = 0
-    inside = ""
-    for a, b in _lines(text):
-        line = text[a:b]
-        bare = line.strip()
-        lead = len(line) - len(line.lstrip())
-        if inside and depth == 0 and bare and lead <= indent and not bare.startswith(("}", ")", "]")):
+def code_structures(text: str, limit: int) -> list[Span]:
+    """Functions and classes up to where their braces or indentation end, and what stands between them."""
+    inside, depth, indent, opened = "", 0, 0, False
+
+    def kind_of(line: str):
+        nonlocal inside, depth, indent, opened
+        bare, lead = line.strip(), len(line) - len(line.lstrip())
+        # Over when its braces closed, or, without braces, at a line that is indented no further.
+        if inside and depth == 0 and bare and (opened or lead <= indent) and not bare.startswith(("}", ")", "]", "{")):
             inside = ""
+        begins = False
         if not inside:
-            if _FUNCTION.match(line):
-                kind = inside = "function"
-            elif _CLASS.match(line):
-                kind = inside = "class"
-            elif re.match(r"(?:import|from|use|#include|require|package)\b", bare):
-                kind = "import"
-            elif bare.startswith(("//", "#", "/*", "*", '"""', "--")):
-                kind = "comment"
-            elif re.match(r"(?:(?:let|const|var|static|mut|final)\s+)?[\w.:\[\], ]+\s*(?::\s*[\w<>\[\]]+\s*)?=[^=]", bare):
-                kind = "variables"
-            else:
-                kind = "code" if bare else (out[-1][2] if out else "code")
-            start = kind == inside != ""
-            indent = lead
-        else:
-            kind, start = inside, False
-        depth = max(0, depth + line.count("{") - line.count("}"))
-        if out and out[-1][2] == kind and not start:
-            out[-1] = (out[-1][0], b, kind)
-        else:
-            out.append((a, b, kind))
-        if inside and depth == 0 and "}" in line:
-            inside = ""
-    return [(x, y, k) for a, b, k in out for x, y in (((a, b),) if b - a <= c.max_chunk_size else _pack([(a + p, a + q) for p, q in _lines(text[a:b])], c.max_chunk_size))]
+            inside = "function" if _FUNCTION.match(line) else "class" if _CLASS.match(line) else ""
+            if inside:
+                begins, indent, opened = True, lead, False
+        kind = inside or "mixed"
+        if inside:
+            depth = max(0, depth + line.count("{") - line.count("}"))
+            opened = opened or "{" in line
+        return kind, begins
+
+    return _runs(text, kind_of, limit)
+
+
+def code_blocks(text: str, limit: int) -> list[Span]:
+    """Runs of imports, comments, function and class heads, variables and other code."""
+
+    def kind_of(line: str):
+        bare = line.strip()
+        if bare.startswith(("import ", "use ", "from ")):
+            return "imports", False
+        if bare.startswith(("//", "#", "/*")):
+            return "comments", False
+        if _FUNCTION.match(line):
+            return "function", False
+        if _CLASS.match(line):
+            return "class", False
+        return ("variables" if bare.startswith(("const ", "let ", "var ")) else "code"), False
+
+    return _runs(text, kind_of, limit)
+
+
+def code_spans(text: str, c: ChunkingConfig) -> list[Span]:
+    """Structures; with one or none, logical blocks; lines without semantics."""
+    limit = c.max_chunk_size
+    if not c.preserve_semantics:
+        return [(a, b, "mixed") for a, b in _fit(_lines(text), limit)]
+    found = code_structures(text, limit)
+    return found if len(found) > 1 and any(k != "mixed" for _, _, k in found) else code_blocks(text, limit)
+
+
+class Analysis:
+    """Where sentences, paragraphs, lines and addresses are, to tell the content type from any place on."""
+
+    def __init__(self, text: str):
+        self.text = text
+        at = lambda p: [m.start() for m in p.finditer(text)]
+        self.sentences, self.paragraphs, self.breaks = at(_SENTENCE), at(_PARAGRAPH), at(re.compile("\n"))
+        self.addresses = sorted(at(_URL) + at(_EMAIL) + at(_PHONE))
+
+    def counts(self, start: int = 0) -> tuple[int, int, int, int]:
+        """Lines, sentences, paragraph breaks and addresses from `start` on."""
+        after = lambda places: len(places) - bisect_left(places, start)
+        n = len(self.text)
+        lines = after(self.breaks) + (n > start and self.text[n - 1] != "\n")
+        return lines, after(self.sentences), after(self.paragraphs), after(self.addresses)
+
+    def kind(self, start: int = 0) -> str:
+        lines, sentences, paragraphs, addresses = self.counts(start)
+        if paragraphs > lines // 3:
+            return "structured"
+        if sentences > lines // 2:
+            return "narrative"
+        return "technical" if addresses else "mixed"
+
+    def size(self, c: ChunkingConfig, start: int = 0) -> int:
+        """The size for the content type from `start` on, within the configured bounds."""
+        if not c.dynamic_sizing:
+            return c.max_chunk_size
+        factor = {"structured": 1.2, "narrative": 0.8}.get(self.kind(start), 1.0)
+        return min(c.max_chunk_size, max(c.min_chunk_size, min(int(c.max_chunk_size * factor), c.max_chunk_size)))
 
 
 def content_type(text: str) -> str:
-    lines = len(text.splitlines())
-    if len(_PARAGRAPH.findall(text)) > lines // 3:
-        return "structured"
-    if len(_SENTENCE.findall(text)) > lines // 2:
-        return "narrative"
-    return "technical" if _URL.search(text) or _EMAIL.search(text) or _PHONE.search(text) else "mixed"
+    return Analysis(text).kind()
 
 
 def dynamic_size(text: str, c: ChunkingConfig) -> int:
-    """The size for a content type, within the configured bounds."""
-    if not c.dynamic_sizing:
-        return c.max_chunk_size
-    factor = {"structured": 1.2, "narrative": 0.8}.get(content_type(text), 1.0)
-    return max(c.min_chunk_size, min(int(c.max_chunk_size * factor), c.max_chunk_size))
+    return Analysis(text).size(c)
+
+
+def _first_mark(marks: list[int], lo: int, hi: int) -> int | None:
+    """The first semantic boundary in ``[lo, hi]``."""
+    k = bisect_left(marks, lo)
+    return marks[k] if k < len(marks) and marks[k] <= hi else None
 
 
 def production_spans(text: str, c: ChunkingConfig) -> list[Span]:
-    size = dynamic_size(text, c)
+    """By strategy; the adaptive one takes paragraphs for structured texts, windows for narrative ones, both for
+    technical ones, and for others walks on by the size that suits what is left.
+
+    Windows end at the first boundary within 100 characters around their end
+    that keeps the size, and the next begins no later than that.
+    """
+    size, n = c.max_chunk_size, len(text)
+    info = Analysis(text)
     strategy = c.strategy
     if strategy == "adaptive":
-        strategy = {"structured": "semantic", "narrative": "semantic", "technical": "fixed"}.get(content_type(text), "hybrid")
-    marks = sorted({m.end() for m in re.finditer(r"[.!?\n;]", text)} | {len(text)})
-    if strategy == "semantic":
-        return [(a, b, "semantic") for s in _pack(_cut_at(text, _SENTENCE), size) for a, b in ([s] if s[1] - s[0] <= size else _windows(*s, size))]
+        strategy = {"structured": "semantic", "narrative": "fixed", "technical": "hybrid"}.get(info.kind(), "adaptive")
+    if strategy in ("semantic", "hybrid"):
+        overlap = c.overlap_size if strategy == "hybrid" else 0
+        return [(x, y, strategy) for a, b in _pack(_cut_at(text, _PARAGRAPH), size) for x, y in _windows(a, b, size, overlap)]
+    marks = sorted({m.end() for m in re.finditer(r"[.!?\n;]", text)} | {n})
     out: list[Span] = []
     at = 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        lo, hi = (at + int(0.8 * size), at + int(1.2 * size)) if strategy == "hybrid" else (end - 100, end + 100)
-        if end < len(text) and c.preserve_semantics:
-            near = [m for m in marks if max(at, lo) < m <= min(hi, at + c.max_chunk_size)]
-            end = (near[0] if strategy == "hybrid" else min(near, key=lambda m: abs(m - end))) if near else end
+    while strategy == "fixed":
+        end = min(n, at + size)
+        if end < n and c.preserve_semantics:
+            end = _first_mark(marks, max(at + c.overlap_size + 1, end - 100), end) or end
+        out.append((at, end, strategy))
+        if end == n:
+            return out
+        at = max(at + 1, end - c.overlap_size)
+    while at < n:
+        target = info.size(c, at)
+        end = n if n - at <= target else _first_mark(marks, at + max(1, int(0.8 * target)), min(at + int(1.2 * target), at + size)) or at + target
         out.append((at, end, strategy))
         at = end
     return out
@@ -257,7 +337,7 @@ def create(name: str | None):
     return CHUNKERS.get((name or "").lower(), document_spans)
 
 
-# Quality
+# Quality and metadata
 
 
 def syllables(word: str) -> int:
@@ -283,43 +363,87 @@ def quality(text: str) -> dict[str, float]:
     return dict(zip(names, scores)) | {"overall": sum(scores) / 4}
 
 
-def describe(name: str, text: str, kind: str) -> dict[str, str]:
+def language_of(text: str) -> str:
+    """The program language told from the content, as `detect_language` does."""
+    if "fn " in text and "let " in text:
+        return "rust"
+    if "def " in text and "import " in text:
+        return "python"
+    if "function " in text or "const " in text:
+        return "javascript"
+    return "java" if "public class " in text else "unknown"
+
+
+def describe(name: str, text: str, kind: str, start: int = 0, line: int = 0, language: str = "", heading: str | None = None, strategy: str = "") -> dict[str, str]:
     """The metadata of a piece by its chunker."""
     lines = text.splitlines()
-    out = {"method": kind, "length": str(len(text)), "line_count": str(len(lines))}
     words = text.split()
+    empty = sum(not x.strip() for x in lines)
+    share = lambda k: f"{k / len(lines) if lines else 0.0:.2f}"
     if name in ("markdown", "md"):
-        texts = [x for x in lines if x.strip() and not _HEADING.match(x.strip()) and not _LIST.match(x) and not x.strip().startswith("```")]
-        heads = [x for x in lines if _HEADING.match(x.strip())]
-        links, images = len(re.findall(r"\[[^\]]+\]\([^)]+\)", text)), len(re.findall(r"!\[[^\]]*\]\([^)]+\)", text))
-        out |= {
-            "text_lines": str(len(texts)), "empty_lines": str(sum(not x.strip() for x in lines)), "heading_count": str(len(heads)),
-            "code_block_count": str(len(re.findall(r"(?m)^```[\s\S]*?^```", text))), "list_count": str(sum(bool(_LIST.match(x)) for x in lines)),
-            "link_count": str(links), "image_count": str(images), "content_density": f"{len(texts) / max(1, len(lines)):.2f}",
+        texts = sum(1 for x in lines if x.strip() and not _HEADING.match(x.strip()) and not _LIST.match(x) and not x.strip().startswith("```"))
+        out = {
+            "chunking_method": "markdown", "block_type": kind, "line_count": len(lines), "char_count": len(text), "text_lines": texts, "empty_lines": empty,
+            "heading_count": sum(bool(_HEADING.match(x.strip())) for x in lines), "code_block_count": len(_FENCED.findall(text)), "list_count": sum(bool(_LIST.match(x)) for x in lines),
+            "link_count": len(_LINK.findall(text)), "image_count": len(_IMAGE.findall(text)), "start_line": line, "content_density": share(texts),
         }
-        if heads:
-            out["heading"] = heads[0].strip().lstrip("#").strip()
+        if heading is not None:
+            out["heading"] = heading
     elif name in ("code", "source"):
-        out |= {
-            "function_count": str(sum(bool(_FUNCTION.match(x)) for x in lines)), "class_count": str(sum(bool(_CLASS.match(x)) for x in lines)),
-            "comment_lines": str(sum(x.strip().startswith(("//", "#", "/*", "*", "--")) for x in lines)), "blank_lines": str(sum(not x.strip() for x in lines)),
+        comments = sum(x.strip().startswith(_COMMENT_SIGNS) for x in lines)
+        out = {
+            "chunking_method": "code", "language": language, "block_type": kind, "line_count": len(lines), "char_count": len(text), "code_lines": len(lines) - comments - empty, "comment_lines": comments, "empty_lines": empty,
+            "function_count": sum(bool(_FUNCTION.match(x)) for x in lines), "class_count": sum(bool(_CLASS.match(x)) for x in lines), "complexity": text.count("{") + text.count("("), "start_line": line, "comment_ratio": share(comments),
         }
     elif name == "production":
-        out |= {"content_type": content_type(text)} | {k: f"{v:.3f}" for k, v in quality(text).items()}
+        info = Analysis(text)
+        _, sentences, paragraphs, _ = info.counts()
+        scores = quality(text)
+        out = {
+            "chunking_method": "production", "strategy": strategy or kind, "word_count": len(words), "sentence_count": len(_SENTENCE.split(text)), "paragraph_count": len(_PARAGRAPH.split(text)), "char_count": len(text), "start_index": start,
+            "content_type": info.kind(), "avg_sentence_length": f"{len(text) / sentences if sentences else 0.0:.2f}", "avg_paragraph_length": f"{len(text) / paragraphs if paragraphs else 0.0:.2f}",
+            "readability_score": f"{scores['readability']:.3f}", "information_density": f"{scores['information_density']:.3f}", "semantic_coherence": f"{scores['semantic_coherence']:.3f}",
+            "structural_integrity": f"{scores['structural_integrity']:.3f}", "overall_quality": f"{scores['overall']:.3f}",
+        }
     else:
-        out |= {
-            "word_count": str(len(words)), "sentence_count": str(len(_SENTENCE.findall(text)) + 1), "paragraph_count": str(len(_PARAGRAPH.findall(text)) + 1),
-            "avg_word_length": f"{sum(map(len, words)) / max(1, len(words)):.2f}",
+        out = {
+            "chunking_method": "document", "word_count": len(words), "sentence_count": len(_SENTENCE.findall(text)) + 1, "paragraph_count": len(_PARAGRAPH.findall(text)) + 1,
+            "avg_word_length": f"{sum(map(len, words)) / max(1, len(words)):.2f}", "start_index": start,
         }
-    return out
+    return {k: str(v) for k, v in out.items()}
+
+
+def contexts(name: str, text: str, c: ChunkingConfig, pieces: list[Span], k: int, heads: list) -> tuple[str, str]:
+    """What a piece shares with the one before and the one after, by the rule of its chunker."""
+    a, b, kind = pieces[k]
+    if not c.overlap_size:
+        return "", ""
+    before = pieces[k - 1] if k else None
+    if name in ("code", "source"):
+        # The last lines of a related block: about 50 characters a line, at most 5.
+        if before and (before[2] == kind or (before[2] in ("function", "class") and kind == "code")):
+            last = text[before[0] : before[1]].splitlines(keepends=True)
+            return "".join(last[-min(5, c.overlap_size // 50) :]) if min(5, c.overlap_size // 50) else "", ""
+        return "", ""
+    if name in ("markdown", "md"):
+        if before and heads[k] is not None and heads[k - 1] is not None and (heads[k] in heads[k - 1] or heads[k - 1] in heads[k]):
+            return text[max(before[0], before[1] - c.overlap_size) : before[1]], ""
+        return "", ""
+    if name == "production":
+        size = min(c.context_window, c.overlap_size)
+        return (text[before[1] - size : before[1]], "") if before and before[1] - before[0] >= size else ("", "")
+    if kind == "fixed":  # windows overlap themselves
+        return "", ""
+    after = pieces[k + 1] if k + 1 < len(pieces) else None
+    return (text[max(before[0], before[1] - c.overlap_size) : before[1]] if before else "", text[after[0] : min(after[1], after[0] + c.overlap_size)] if after else "")
 
 
 def chunk(texts: DataFrame, config: ChunkingConfig | None = None, chunk_type: str | Column = "document") -> DataFrame:
     """``(id, n, content, start_index, end_index, chunk_type, metadata)`` from ``(id, text)``.
 
-    `chunk_type` is a name for all or a Column. Every piece but the first also
-    carries the last `overlap_size` characters of the one before in
-    ``metadata['context']``; its ``content`` is exactly its slice of the text.
+    `chunk_type` is a name for all or a Column; an unknown or null one is a
+    document. ``content`` is exactly its slice of the text, unless the config
+    says that the contexts are joined to it.
     """
     c = config or ChunkingConfig()
     kind = dict(texts.dtypes)["id"]
@@ -330,16 +454,37 @@ def chunk(texts: DataFrame, config: ChunkingConfig | None = None, chunk_type: st
             out: list[tuple] = []
             for i, text, t in zip(*(b.column(k).to_pylist() for k in ("id", "text", "t"))):
                 name = (t or "").lower() if (t or "").lower() in CHUNKERS else "document"
-                n = 0
-                for a, e, how in CHUNKERS[name](text, c):
+                pieces = [s for s in CHUNKERS[name](text, c) if not text[s[0] : s[1]].isspace()]
+                language = language_of(text) if name in ("code", "source") else ""
+                heads, head, line, at = [], None, 0, 0
+                for a, e, _ in pieces if name in ("markdown", "md") else ():
+                    first = text[a:e].split("\n", 1)[0].strip()
+                    head = first if _HEADING.match(first) else head
+                    heads.append(head)
+                for n, (a, e, how) in enumerate(pieces):
+                    line, at = line + text.count("\n", at, a), max(at, a)
+                    more = describe(name, text[a:e], how, a, line, language, heads[n] if heads else None, c.strategy)
+                    before, after = contexts(name, text, c, pieces, n, heads)
+                    more |= {k: v for k, v in (("context_before", before), ("context_after", after)) if v}
                     part = text[a:e]
-                    if part.strip():
-                        more = describe(name, part, how)
-                        if n and c.overlap_size:
-                            more["context"] = text[max(0, a - c.overlap_size) : a]
-                        out.append((i, n, part, a, e, name, list(more.items())))
-                        n += 1
+                    if c.overlap_in_content:
+                        gap = "\n" if name in ("markdown", "md", "code", "source") else " "
+                        part = gap.join(x for x in (before.rstrip("\n") if gap == "\n" else before, part, after) if x)
+                    out.append((i, n, part, a, e, name, list(more.items())))
             types = (b.schema.field("id").type, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate(types)], names=["id", "n", "content", "start_index", "end_index", "chunk_type", "metadata"])
 
     return rows.mapInArrow(run, f"id {kind}, n int, content string, start_index bigint, end_index bigint, chunk_type string, metadata map<string,string>")
+
+
+def described(texts: DataFrame, chunk_type: str = "document") -> DataFrame:
+    """``(id, metadata)`` of whole texts from ``(id, text)`` as one piece each; blank ones give none."""
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches):
+        for b in batches:
+            meta = [list(describe(chunk_type, t, "whole").items()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(meta, pa.map_(pa.string(), pa.string()))], names=["id", "metadata"])
+
+    rows = texts.select("id", "text").filter("text IS NOT NULL AND trim(text) <> ''")
+    return rows.mapInArrow(run, f"id {kind}, metadata map<string,string>")

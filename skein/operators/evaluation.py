@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage
+
 
 def relevance(qrels: DataFrame) -> DataFrame:
     """``(query_id, id, rel)``; the greatest relevance of an id counts."""
@@ -59,17 +61,30 @@ def per_query(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, column: str, percents=(50, 95, 99)) -> list:
-    """Columns of percentiles by the nearest rank ``round(p / 100 (n - 1))`` of the sorted values.
+    """Columns of percentiles by the nearest rank ``round(p / 100 (n - 1))`` of the sorted values, null if there are none.
 
-    The interpolating aggregate is asked for the position of that rank, so it
-    gives a value of the column; its state holds distinct values, not rows.
+    The values are sorted by ranges across tasks, which count their own; only the
+    ranges that hold a wanted rank are looked at, one value of each.
     """
-    n = df.filter(F.col(column).isNotNull()).count()
-    at = lambda p: math.floor(p / 100 * (n - 1) + 0.5) / (n - 1) if n > 1 else 0.0
-    return [F.percentile(column, at(p)).alias(f"p{p}") for p in percents]
+    ranged = df.select(column).filter(F.col(column).isNotNull()).repartitionByRange(column).sortWithinPartitions(column).withColumn("p", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sizes = sorted((r["p"], r["c"]) for r in ranged.groupBy("p").agg(F.count("*").alias("c")).collect())  # one row a task
+    n, found, wanted, base = sum(c for _, c in sizes), {}, {}, 0
+    for p, c in sizes:
+        for q in percents:
+            at = math.floor(q / 100 * (n - 1) + 0.5) - base
+            if 0 <= at < c:
+                wanted[q] = p, at + 1
+        base += c
+    if wanted:
+        place = F.row_number().over(Window.partitionBy("p").orderBy(column))
+        hit = ranged.filter(F.col("p").isin(*{p for p, _ in wanted.values()})).withColumn("r", place)
+        hit = {(r["p"], r["r"]): r[column] for r in hit.filter(F.struct("p", "r").isin(*[F.struct(F.lit(p), F.lit(r)) for p, r in wanted.values()])).collect()}
+        found = {q: hit[w] for q, w in wanted.items()}
+    return [F.lit(found.get(q)).cast(dict(df.dtypes)[column]).alias(f"p{q}") for q in percents]
 
 
 def report(results: DataFrame) -> DataFrame:
     """One row: means of the metrics over all runs, percentiles of the latencies that are not null."""
     means = [F.avg(c).alias(n) for c, n in (("recall", "mean_recall"), ("precision", "mean_precision"), ("rr", "mrr"), ("ap", "map"), ("ndcg", "mean_ndcg"), ("latency_ms", "mean_latency"))]
-    return results.agg(F.count("*").alias("queries"), *means, *nearest_rank(results, "latency_ms"))
+    return results.agg(F.count("*").alias("queries"), *means).select("*", *nearest_rank(results, "latency_ms"))

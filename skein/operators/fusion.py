@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Candidates of a single ranking that are fused.
+MOST = 100_000
+
+
 @dataclass(frozen=True)
 class WeightedSum:
     dense: float = 0.7
@@ -27,15 +31,23 @@ def parse(name: str | None, dense: float = 0.7, sparse: float = 0.3, k: float =
     raise ValueError(f"unknown fusion {name!r}")
 
 
+def best(*by: str):
+    """The window of the best scores first, ties (to nine digits) to the smaller id."""
+    return Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "id")
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, method=None, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """``(id, dense_score, sparse_score, combined_score, matched_terms)``, the best `k`.
 
     The score of a missing side is 0. `by` names columns that tell queries
-    apart; then the best `k` of each are given.
+    apart; then the best `k` of each are given. Without it both sides are one
+    ranking, of which the best `MOST` count, so no task ranks more than that.
     """
     by = by or []
     method = method or Rrf()
-    rank = lambda d: d.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
+    if not by:
+        dense, sparse = (d.orderBy(F.desc("score"), "id").limit(MOST) for d in (dense, sparse))
+    rank = lambda d: d.withColumn("rn", F.row_number().over(best(*by)))
     if "matched_terms" not in sparse.columns:
         sparse = sparse.withColumn("matched_terms", F.array().cast("array<string>"))
     if isinstance(method, Rrf):
@@ -53,5 +65,5 @@ def fuse(dense: DataFrame, sparse: DataFrame, method=None, k: int = 10, by: list
     out = both.select(*by, "id", F.coalesce("ds", zero).alias("dense_score"), F.coalesce("ss", zero).alias("sparse_score"), total.alias("combined_score"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"))
     if not by:
         return out.orderBy(F.desc("combined_score"), "id").limit(k)
-    w = Window.partitionBy(*by).orderBy(F.desc("combined_score"), "id")
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("combined_score", 9)), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

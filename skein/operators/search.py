@@ -123,18 +123,22 @@ def _pass(block, k: int, kind: str, q_type: pa.DataType):
                     continue
                 x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d).astype(np.float64)
                 s = _scores(x, q, kind)
-                for j, name in enumerate(names):
-                    col = s[:, j]
-                    if len(col) > k:
-                        edge = np.partition(col, -k)[-k]
-                        keep = np.nonzero(col >= edge)[0]
-                    else:
-                        keep = np.arange(len(col))
-                    new = [(-col[i], ids[own[i]]) for i in keep if not math.isnan(col[i])]
-                    held[d, j] = (name, sorted(new + held.get((d, j), (name, []))[1])[:k])
+                # The best k of the batch for all queries at once, then merged with those held.
+                s = np.where(np.isnan(s), -np.inf, s).T
+                edge = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else -np.inf
+                at, col = np.nonzero((s >= edge) & (s > -np.inf))
+                names_at, scores, who = at, s[at, col], ids[own[col]]
+                if d in held:
+                    names_at, scores, who = (np.concatenate(z) for z in zip(held[d], (names_at, scores, who)))
+                order = np.lexsort((np.argsort(np.argsort(who, kind="stable"), kind="stable"), -scores, names_at))
+                n = names_at[order]
+                first = np.concatenate([[0], np.nonzero(n[1:] != n[:-1])[0] + 1]) if len(n) else np.zeros(0, int)
+                order = order[np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n)))) < k]
+                held[d] = names_at[order], scores[order], who[order]
         if held:
-            rows = [(name, i, -s) for name, best in held.values() for s, i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], q_type), pa.array([r[1] for r in rows], ids_type), pa.array([float(r[2]) for r in rows])], names=["query_id", "id", "score"])
+            for d, (at, scores, who) in held.items():
+                names = groups[d][0]
+                yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in at], q_type), pa.array(who.tolist(), ids_type), pa.array(scores)], names=["query_id", "id", "score"])
 
     return run
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,20 +50,30 @@ def limit_requests(events: DataFrame, rate: float, burst: float, idle: float = 3
 
 
 def limit_requests_batch(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """The same over a batch, as one ordered pass of array functions a client."""
-    rows = events.select("client", F.col("ts").alias("ts"), "request_id").filter("client IS NOT NULL AND ts IS NOT NULL")
-    seq = rows.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("ts", "request_id"))).alias("e"))
-    secs = lambda t: F.unix_micros(t) / 1e6
-    start = F.struct(F.lit(float(burst)).alias("tokens"), secs(F.col("e")[0]["ts"]).alias("last"), F.array().cast("array<struct<ts:timestamp,request_id:bigint,allowed:boolean,wait:double>>").alias("out"))
-
-    def step(s, x):
-        now = secs(x["ts"])
-        have = F.least(F.lit(float(burst)), s["tokens"] + (now - s["last"]) * rate)
-        ok = have >= 1
-        row = F.struct(x["ts"].alias("ts"), x["request_id"].alias("request_id"), ok.alias("allowed"), F.when(ok, F.lit(0.0)).otherwise((1 - have) / rate).alias("wait"))
-        return F.struct(F.when(ok, have - 1).otherwise(have).alias("tokens"), now.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return seq.select("client", F.inline(F.aggregate("e", start, step)["out"]))
+    """The same over a batch.
+
+    After a pause in which the bucket fills up whatever was left, a client's
+    events no longer depend on those before: they are cut there, and the
+    stretches run side by side. Only a client that never pauses that long is one
+    stretch, which takes 24 bytes an event.
+    """
+    rows = events.select("client", "ts", "request_id").filter("client IS NOT NULL AND ts IS NOT NULL")
+    w = Window.partitionBy("client").orderBy("ts", "request_id")
+    now = F.unix_micros("ts")
+    full = F.coalesce((now - F.lag(now).over(w)) / 1e6 * rate >= burst, F.lit(True))
+    cut = rows.withColumn("full", full.cast("int")).withColumn("stretch", F.sum("full").over(w))
+
+    def run(table):
+        table = table.sort_by([("ts", "ascending"), ("request_id", "ascending")])
+        tokens, last, ok, wait = float(burst), None, [], []
+        for t in (table.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy() / 1e6).tolist():
+            passed, seconds, tokens = bucket_step(tokens, t if last is None else last, t, rate, burst)
+            last = t
+            ok.append(passed)
+            wait.append(seconds)
+        return table.select(["client", "ts", "request_id"]).append_column("allowed", pa.array(ok, pa.bool_())).append_column("wait", pa.array(wait, pa.float64()))
+
+    return cut.select("client", "stretch", "ts", "request_id").groupBy("client", "stretch").applyInArrow(run, "client string, ts timestamp, request_id bigint, allowed boolean, wait double")
 
 
 def client_ip(forwarded: str, real: str) -> Column:

@@ -148,9 +148,23 @@ def test_chunkers_cover_the_text(spark):
     text = "First sentence. Second one!\n\n# Head\n\nPara twö with words.\n```\ncode\n```\n- item\n| a | b |\n" * 4 + "def f():\n    x = 1\n\n\nclass A:\n    pass\n"
     for name in chunkers.CHUNKERS:
         for keep in (True, False):
-            c = chunkers.ChunkingConfig(60, 0, keep)
-            spans = chunkers.CHUNKERS[name](text, c)
-            assert "".join(text[a:b] for a, b, _ in spans) == text, (name, keep)
+            for t in (text, "x = " + "y" * 500, "short lines\n" * 60, "# a\n" + "word " * 100):
+                c = chunkers.ChunkingConfig(60, 10, keep)
+                spans = chunkers.CHUNKERS[name](t, c)
+                assert all(b - a <= 60 for a, b, _ in spans), (name, keep)
+                assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(y[0] <= x[1] and y[1] > x[1] for x, y in zip(spans, spans[1:])), (name, keep)
+    kinds = [k for _, _, k in chunkers.code_structures("use a;\nfn f() {\n  g();\n\n  h();\n}\nstruct S {\n}\nlet x = 1;\n", 400)]
+    assert kinds == ["mixed", "function", "class", "mixed"]
+    assert [k for _, _, k in chunkers.code_blocks("import a\n# c\nlet x = 1\ny()\n", 400)] == ["imports", "comments", "variables", "code"]
+    assert [k for _, _, k in chunkers.markdown_blocks("# h\n\npara\n- a\n- b\n> q\n| t |\n```\n- c\n```\n", 400)] == ["heading", "empty", "paragraph", "list", "quote", "table", "code_block"]
+    story = "It was so. " * 40
+    assert [k for _, _, k in chunkers.production_spans(story, chunkers.ChunkingConfig(100, 20))][0] == "fixed"
+    assert {chunkers.content_type(t) for t in (story, "a\n\nb\n\nc", "see http://x.y", "word " * 9)} == {"narrative", "structured", "technical", "mixed"}
+    assert chunkers.production_spans("tok; " * 30, chunkers.ChunkingConfig(60, 5))[0] == (0, 49, "adaptive")
+    code = chunkers.chunk(spark.createDataFrame([("a", "fn a() {\n  x\n}\nfn b() {\n}\n")], "id string, text string"), chunkers.ChunkingConfig(400, 100), "code").collect()
+    assert [r.metadata["block_type"] for r in code] == ["function", "function"] and code[1].metadata["context_before"] == "  x\n}\n" and code[1].metadata["start_line"] == "3"
+    both = chunkers.chunk(spark.createDataFrame([("a", "one two\n\nthree four\n\nfive six")], "id string, text string"), chunkers.ChunkingConfig(12, 4, overlap_in_content=True)).collect()
+    assert both[1].content == "wo\n\n three four\n\n five" and both[0].metadata["word_count"] == "2"
     df = spark.createDataFrame([("a", text), ("n", None), ("e", ""), ("b", " \n ")], "id string, text string")
     rows = chunkers.chunk(df, chunkers.ChunkingConfig(60, 10), "markdown").collect()
     assert {r.id for r in rows} == {"a"} and all(text[r.start_index : r.end_index] == r.content for r in rows)
