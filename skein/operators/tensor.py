@@ -7,9 +7,45 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.errors import DimensionMismatch
+from skein.errors import DimensionMismatch, InvalidVector, VectorNotFound
 from skein.functions import vectors as V
 from skein.operators.search import literal
+from skein.sources.versions import VersionedTable
+
+class TensorStore:
+    """Tensors ``(id, data, shape)`` at a path; inserting a known id replaces it."""
+
+    def __init__(self, spark, path: str):
+        self.table = VersionedTable(spark, path, "id string, data array<double>, shape array<int>")
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+    def insert(self, rows: DataFrame) -> None:
+        """Add or replace; an invalid tensor raises before anything is written. Of repeated ids the greatest data count."""
+        rows = rows.select(F.col("id").cast("string").alias("id"), F.col("data").cast("array<double>").alias("data"), F.col("shape").cast("array<int>").alias("shape"))
+        if bad := rows.filter(~is_valid()).select("id").limit(1).collect():
+            raise InvalidVector(f"tensor {bad[0]['id']}")
+        self.table.append(rows.groupBy("id").agg(F.max(F.struct("data", "shape")).alias("r")).select("id", "r.data", "r.shape"))
+
+    def get(self, id_: str) -> DataFrame:
+        rows = self.table.read(where=F.col("id") == id_)
+        if not rows.limit(1).count():
+            raise VectorNotFound(id_)
+        return rows
+
+    def delete(self, ids: DataFrame) -> None:
+        ids = ids.select(F.col("id").cast("string").alias("id")).distinct()
+        if missing := ids.join(self.read().select("id"), "id", "left_anti").limit(1).collect():
+            raise VectorNotFound(missing[0]["id"])
+        self.table.append(self.read().limit(0), gone=ids)
+
+    def list_ids(self) -> DataFrame:
+        return self.read().select("id").orderBy("id")
+
+    def __len__(self) -> int:
+        return self.read().count()
+
 
 SIMILARITY = {"dot": V.dot, "cosine": V.cosine, "pearson": V.pearson}
 

@@ -509,6 +509,24 @@ def r2_context(spark, sf):
     return rag.pack_context(ranked, 8000, ["source_id"]).groupBy("source_id").agg(F.count("*").alias("entries"), F.max("used").alias("bytes"))
 
 
+def r1_answers(spark, sf):
+    """The prompts' contexts of the titles that ask, over texts embedded offline; the model repeats what it is given."""
+    d = _t(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = embedders.text_records(d, LetterEmbedder())
+    asked = [r["title"] for r in _t(spark, sf, "documents").filter("doc_id % 200 = 0 AND title IS NOT NULL").select("title", "doc_id").orderBy("doc_id").limit(3).collect()]
+    rows = []
+    for title in asked:
+        got = rag.answer(docs, title, LetterEmbedder(), rag.Echo(), top_k=3, most_bytes=1 << 30)
+        rows += [(title, k + 1, x["id"], round(x["score"], 6), x["text"] in got.answer) for k, x in enumerate(got.sources)]
+    return spark.createDataFrame(rows, "question string, rank int, id string, score double, in_prompt boolean")
+
+
+def r4_concepts(spark, sf):
+    """Concepts of texts by the offline extractor: the terms of greatest tf-idf, at most three."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rag.top_terms(textindex.TextIndex(d, _letters), 3).select("id", F.array_join("concepts", " ").alias("concepts"))
+
+
 def w1_token_bucket(spark, sf):
     e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"))
     return serving.limit_requests_batch(e, rate=0.001, burst=3).withColumn("wait", F.round("wait", 3))
@@ -605,7 +623,7 @@ round((SELECT corr(a, b) FROM (SELECT unnest(v) AS a, unnest({Q_SQL}) AS b)), 6)
 d AS (SELECT id, m, c, sum((x - b) * (x - b)) AS d FROM x JOIN b ON m = p // 8 AND w = p % 8 GROUP BY ALL), k AS (SELECT id, m, arg_min(c, d) AS c FROM d GROUP BY ALL),
 s AS (SELECT id, sqrt(sum(power(sin((8 * m + w + 1)::DOUBLE) - b, 2))) AS dist FROM k JOIN b USING (m, c) GROUP BY id) SELECT id, round(dist, 6) AS distance, round(1 / (1 + dist), 6) AS score FROM s ORDER BY dist, id LIMIT 10""",
         "t1_tokens": f"""WITH t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(coalesce(text, ''), '[{WS},;]+')) AS t FROM documents),
-l AS (SELECT id, lower(regexp_replace(t, '^{END}+|{END}+$', '', 'g')) AS t FROM t) SELECT id, count(DISTINCT t) AS terms, count(*)::BIGINT AS tokens FROM l WHERE strlen(t) >= 2 AND t NOT IN ({stops}) GROUP BY id""",
+l AS (SELECT id, lower(replace(regexp_replace(t, '^{END}+|{END}+$', '', 'g'), 'İ', 'i̇')) AS t FROM t) SELECT id, count(DISTINCT t) AS terms, count(*)::BIGINT AS tokens FROM l WHERE strlen(t) >= 2 AND t NOT IN ({stops}) GROUP BY id""",
         "t3_weights": postings[: postings.index("w AS (SELECT id, p.term")].rstrip().rstrip(",") + " SELECT id, term, tf::DOUBLE AS raw, round(1 + ln(tf), 6) AS sublinear, round(ln(n / df), 6) AS plain, round(ln(1 + n / df), 6) AS smooth FROM p JOIN f USING (term), n",
         "t9_threshold": sparse[: sparse.index("SELECT query_id, id, round(score")] + " SELECT query_id, id, round(score, 6) AS score FROM r WHERE score >= 0.05",
         "t10_insertion_norms": postings[: postings.index("f AS (SELECT term")].rstrip().rstrip(",") + ", o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM d), s AS (SELECT id, tf, n, count(*) OVER (PARTITION BY term ORDER BY id) AS df FROM p JOIN o USING (id)) SELECT id, round(sqrt(sum(power((1 + ln(tf)) * ln(1 + n / df), 2))), 6) AS norm FROM s GROUP BY id",
@@ -622,6 +640,9 @@ l AS (SELECT id, lower(regexp_replace(t, '^{END}+|{END}+$', '', 'g')) AS t FROM
 s AS (SELECT query_id, e.id, row_number() OVER (PARTITION BY query_id ORDER BY {COS.format(a="v", b="qv")} DESC, e.id) - 1 AS p FROM q, e), t AS (SELECT * FROM s WHERE p < 10), h AS (SELECT query_id, p, count(*) OVER (PARTITION BY query_id ORDER BY p) AS seen FROM t JOIN rel USING (query_id, id)),
 a AS (SELECT query_id, count(*) AS c, min(p) AS first, sum(seen / (p + 1)) AS gain, sum(1 / log2(p + 2.0)) AS dcg FROM h GROUP BY 1), i AS (SELECT query_id, n, (SELECT sum(1 / log2(k + 2.0)) FROM range(0, least(n, 10)) r(k)) AS idcg FROM n)
 SELECT count(*) AS queries, round(avg(coalesce(c, 0) / n), 6) AS mean_recall, round(avg(coalesce(c, 0) / 10), 6) AS mean_precision, round(avg(coalesce(1.0::DOUBLE / (first + 1), 0)), 6) AS mrr, round(avg(coalesce(gain, 0) / n), 6) AS map, round(avg(coalesce(dcg, 0) / idcg), 6) AS mean_ndcg, 1.0::DOUBLE AS mean_latency FROM i LEFT JOIN a USING (query_id)""",
+        "r1_answers": f"""WITH d AS (SELECT doc_id::VARCHAR AS id, {letters('text')} AS v FROM documents WHERE text IS NOT NULL), q AS (SELECT title, doc_id, {letters('title')} AS t FROM documents WHERE doc_id % 200 = 0 AND title IS NOT NULL ORDER BY doc_id LIMIT 3),
+s AS (SELECT title, id, {safe('t', 'v')} AS s FROM q, d) SELECT title AS question, k::INT AS rank, id, round(s, 6) AS score, true AS in_prompt FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY 1 - s, id) AS k FROM s) WHERE k <= 3""",
+        "r4_concepts": postings[: postings.index("dn AS (")].rstrip().rstrip(",") + ", k AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, term) AS k FROM w) SELECT id, string_agg(term, ' ' ORDER BY k) AS concepts FROM k WHERE k <= 3 GROUP BY id",
         "w1_token_bucket": """WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS client, ts, event_id AS request_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 r AS (SELECT client, ts, request_id, t, i, true AS allowed, 0.0::DOUBLE AS wait, 2.0::DOUBLE AS tokens FROM o WHERE i = 1
 UNION ALL SELECT o.client, o.ts, o.request_id, o.t, o.i, h >= 1, CASE WHEN h >= 1 THEN 0.0 ELSE (1 - h) / 0.001::DOUBLE END, CASE WHEN h >= 1 THEN h - 1 ELSE h END FROM (SELECT n.*, least(3.0::DOUBLE, r.tokens + (n.t - r.t) * 0.001::DOUBLE) AS h FROM r JOIN o n ON n.client = r.client AND n.i = r.i + 1) o)

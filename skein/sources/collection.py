@@ -144,10 +144,53 @@ class Collection:
     def stats(self) -> DataFrame:
         return stats(self.read())
 
+    def gauges(self) -> DataFrame:
+        """One row: vectors, dimension, estimated bytes, versions and folders."""
+        return self.stats().withColumn("versions", F.lit(len(self.versions()))).withColumn("folders", F.lit(len(self.table.manifest()["folders"])))
+
     # Searches
 
-    def search(self, query, k: int = 10, where=None, ef: int | None = None) -> DataFrame:
-        return S.index_topk(self.read(), query, S.clamp_k(k), self.metric, self.algorithm, ef, self.dimension or self.infer_dimension(), where)
+    def search(self, query, k: int = 10, where=None, ef: int | None = None, postfilter: bool = False) -> DataFrame:
+        """Exact, whatever the algorithm, whose distance and score it gives; `build_index` is for the approximate ones."""
+        return S.index_topk(self.read(), query, S.clamp_k(k), self.metric, self.algorithm, ef, self.dimension or self.infer_dimension(), where, postfilter)
+
+    def search_batch(self, queries: DataFrame, k: int = 10, kind: str = "cosine", where=None) -> DataFrame:
+        """``(query_id, id, score, rank)`` for ``queries(query_id, vector)``."""
+        docs = self.read() if where is None else self.read().filter(S.compile_filter(where))
+        return S.batch_topk(docs, queries, S.clamp_k(k), kind)
+
+    def search_text(self, queries: DataFrame, embedder, k: int = 10, kind: str = "cosine", where=None, postfilter: bool = False) -> DataFrame:
+        from skein.operators.retrieval import text_search
+
+        return text_search(self.read(), queries, embedder, k, kind, where, postfilter)
+
+    def text_index(self, **config):
+        """A text index over the texts that the records carry; built again after writes, so both stay alike."""
+        from skein.operators.textindex import TextIndex
+
+        return TextIndex(self.read().select("id", F.try_element_at("tags", F.lit("_text")).alias("text")), **config)
+
+    def search_hybrid(self, queries: DataFrame, k: int = 10, method=None, index=None, **candidates) -> DataFrame:
+        """Fused ranking for ``queries(query_id, vector, text)``."""
+        from skein.operators.retrieval import hybrid_search
+
+        return hybrid_search(self.read(), index or self.text_index(), queries, k, method, **candidates)
+
+    def rerank(self, candidates: DataFrame, query, k: int = 10) -> DataFrame:
+        return S.rerank(self.read(), candidates, query, k, self.metric)
+
+    def build_index(self, kind: str | None = None, **config):
+        """A stored index of the records beside the collection; opening one of that kind again loads it."""
+        from skein.operators.stored import StoredIndex
+
+        kind = kind or {"exact": "linear"}.get(self.algorithm, self.algorithm)
+        return StoredIndex(self.spark, f"{self.path}/index-{kind}", kind, self.metric, **config).build(self.read())
+
+    def open_index(self, kind: str | None = None, **config):
+        from skein.operators.stored import StoredIndex
+
+        kind = kind or {"exact": "linear"}.get(self.algorithm, self.algorithm)
+        return StoredIndex(self.spark, f"{self.path}/index-{kind}", kind, self.metric, **config)
 
     def search_threshold(self, query, least: float, most: int = 100) -> DataFrame:
         return S.index_topk(self.read(), query, most, self.metric, self.algorithm).filter(F.col("score") >= least)

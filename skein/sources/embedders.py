@@ -26,7 +26,7 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def _post(url: str, body: dict, key: str | None = None) -> dict:
+def post_json(url: str, body: dict, key: str | None = None) -> dict:
     headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
     with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=60) as r:
         return json.load(r)
@@ -56,7 +56,7 @@ class OllamaEmbedder:
     dimension: int = 768
 
     def embed(self, texts):
-        return _post(f"{self.url}/api/embed", {"model": self.model, "input": texts})["embeddings"]
+        return post_json(f"{self.url}/api/embed", {"model": self.model, "input": texts})["embeddings"]
 
 
 @dataclass
@@ -67,7 +67,7 @@ class OpenAiEmbedder:
     dimension: int = 1536
 
     def embed(self, texts):
-        return [d["embedding"] for d in sorted(_post(f"{self.url}/embeddings", {"model": self.model, "input": texts}, self.key)["data"], key=lambda d: d["index"])]
+        return [d["embedding"] for d in sorted(post_json(f"{self.url}/embeddings", {"model": self.model, "input": texts}, self.key)["data"], key=lambda d: d["index"])]
 
 
 @dataclass
@@ -78,7 +78,7 @@ class HuggingFaceEmbedder:
     dimension: int = 384
 
     def embed(self, texts):
-        return _post(f"{self.url}/pipeline/feature-extraction/{self.model}", {"inputs": texts}, self.key)
+        return post_json(f"{self.url}/pipeline/feature-extraction/{self.model}", {"inputs": texts}, self.key)
 
 
 @dataclass
@@ -89,7 +89,7 @@ class CohereEmbedder:
     dimension: int = 1024
 
     def embed(self, texts):
-        return _post(f"{self.url}/v1/embed", {"model": self.model, "texts": texts, "input_type": "search_document"}, self.key)["embeddings"]
+        return post_json(f"{self.url}/v1/embed", {"model": self.model, "texts": texts, "input_type": "search_document"}, self.key)["embeddings"]
 
 
 REGISTRY = {"hash": (HashEmbedder, None), "ollama": (OllamaEmbedder, None), "openai": (OpenAiEmbedder, "OPENAI_API_KEY"), "huggingface": (HuggingFaceEmbedder, "HUGGINGFACE_API_KEY"), "cohere": (CohereEmbedder, "COHERE_API_KEY")}

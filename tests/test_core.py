@@ -1,6 +1,10 @@
 """Fixtures of the operators with known results."""
 
+import json
 import math
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein import errors
 from skein.functions import vectors as V
-from skein.operators import chunkers, evaluation, fusion, graph, indexes, rag, search, stored, tensor, textindex
+from skein.operators import chunkers, evaluation, fusion, graph, indexes, rag, retrieval, search, stored, tensor, textindex
 from skein.operators import filters as T
 from skein.sources import embedders
 from skein.sources.collection import Collection
@@ -225,6 +229,13 @@ def test_rag(spark):
     got = rag.answer(recs, "vector index", e, lambda p: f"{len(p) > 0}", top_k=2)
     assert got.answer == "True" and {s["id"] for s in got.sources} == {"a", "c"}
     assert rag.answer(recs, "vector index", e, lambda p: p, most_bytes=0).sources == []
+    bare = spark.createDataFrame([("z", [float(i == 0) for i in range(64)], {"k": "v", "a": "b"})], VEC)
+    assert rag.answer(bare, "x", e, rag.Echo(), top_k=1).sources[0]["text"] == "z a=b k=v"
+    long = rag.answer(recs, "vector index", e, rag.Echo(), prompt="Q {question} C {context}")
+    assert long.answer.startswith("Q vector index C [1] (score=") and rag.snippet("x" * 300) == "x" * 200 + "..."
+    assert rag.concepts_by(lambda p: "- one\n- " + str(len(p)), "q")("t" * 900)[0] == "one"
+    terms = rag.top_terms(textindex.TextIndex(t.filter("text IS NOT NULL")), 2).collect()
+    assert {r.id: len(r.concepts) for r in terms} == {"a": 2, "b": 2, "c": 2}
     nodes = rag.expand(recs, "vector index", e, lambda x: x.split(), seeds=1, most=2)
     assert nodes.count() <= 2 and rag.synthesize(nodes, "q", lambda p: "ok") == "ok"
     assert rag.parse_concepts("- one\n2. two things\nx\n") == ["one", "two things"]
@@ -297,3 +308,144 @@ def test_graph_recall():
         for ef in hit:
             hit[ef] += len(want & {i for _, i in graph.walk(x, near, q, max(10, ef), "euclidean")[:10]})
     assert hit[200] >= 0.9 * 400 and hit[200] > hit[10]
+
+
+class _Service(BaseHTTPRequestHandler):
+    """Stands in for the services of embeddings and chats."""
+
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        _Service.seen.append((self.path, body, self.headers.get("Authorization")))
+        texts = body.get("input") or body.get("inputs") or body.get("texts") or []
+        vectors = [[float(len(t)), 1.0] for t in texts]
+        if self.path == "/api/chat":
+            out = {"message": {"content": body["messages"][-1]["content"].upper()}}
+        elif self.path == "/chat/completions":
+            out = {"choices": [{"message": {"content": body["messages"][0]["content"]}}] if body["model"] != "none" else []}
+        elif self.path == "/embeddings":
+            out = {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}
+        else:
+            out = vectors if "feature-extraction" in self.path else {"embeddings": vectors}
+        data = json.dumps(out).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def service():
+    server = HTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_providers(spark, service, monkeypatch):
+    texts = spark.createDataFrame([("a", "abc"), ("b", "defgh"), ("n", None)], "id string, text string")
+    for name, more in (("ollama", {}), ("openai", {"key": "k"}), ("huggingface", {"key": "k"}), ("cohere", {"key": "k"})):
+        e = embedders.create(name, url=service, **more)
+        rows = {r.id: r.vector for r in embedders.embed(texts, e).collect()}
+        assert rows == {"a": [3.0, 1.0], "b": [5.0, 1.0], "n": None}, name
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(ValueError):
+        embedders.create("openai")
+    assert rag.create_llm("ollama", url=service, system_prompt="s")("hi") == "HI" and _Service.seen[-1][1]["messages"][0]["role"] == "system"
+    assert rag.create_llm("openai", url=service, key="k")("hi") == "hi" and _Service.seen[-1][2] == "Bearer k"
+    with pytest.raises(ValueError):
+        rag.create_llm("openai", url=service, key="k", model="none")("hi")
+    with pytest.raises(ValueError):
+        rag.create_llm("openai")
+    with pytest.raises(ValueError):
+        rag.create_llm("other")
+
+
+def test_tensor_store(spark, tmp_path):
+    store = tensor.TensorStore(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, data array<double>, shape array<int>")
+    store.insert(rows(("a", [1.0, 2.0], [2]), ("b", [3.0], [1])))
+    store.insert(rows(("a", [5.0, 6.0, 7.0, 8.0], [2, 2])))
+    assert store.get("a").collect()[0].data == [5.0, 6.0, 7.0, 8.0] and len(store) == 2
+    with pytest.raises(errors.InvalidVector):
+        store.insert(rows(("c", [1.0], [2])))
+    store.delete(rows(("b", None, None)).select("id"))
+    assert [r.id for r in store.list_ids().collect()] == ["a"]
+    with pytest.raises(errors.VectorNotFound):
+        store.get("b")
+    with pytest.raises(errors.VectorNotFound):
+        store.delete(rows(("b", None, None)).select("id"))
+
+
+def test_retrieval(spark, tmp_path):
+    e = embedders.HashEmbedder(64)
+    t = spark.createDataFrame([("a", "vector index search", "x"), ("b", "text ranking model", "y"), ("c", "index pruning for vectors", "x")], "id string, text string, g string")
+    c = Collection(spark, str(tmp_path / "c"), metric="cosine")
+    c.create(embedders.text_records(t.select("id", "text", F.create_map(F.lit("g"), "g").alias("tags")), e))
+    q = spark.createDataFrame([("q1", "ranking model"), ("q2", None)], "query_id string, text string")
+    assert [(r.query_id, r.id) for r in c.search_text(q, e, 1).collect()] == [("q1", "b")]
+    assert {r.id for r in c.search_text(q, e, 3, where=T.Equals("g", "x")).collect()} == {"a", "c"}
+    assert {r.id for r in c.search_text(q, e, 3, where=T.Equals("g", "x"), postfilter=True).collect()} == {"a", "c"}
+    asked = embedders.embed(q, e)
+    got = c.search_hybrid(asked, 2).collect()
+    assert got[0].id == "b" and got[0].matched_terms == ["model", "ranking"] and {r.query_id for r in got} == {"q1"}
+    assert c.search_batch(asked.select("query_id", "vector"), 1).collect()[0].id == "b"
+    ix = c.build_index("ivf", nlist=2)
+    assert [r.id for r in ix.search(e.embed(["ranking model"])[0], 1).collect()] == ["b"] == [r.id for r in c.open_index("ivf").search(e.embed(["ranking model"])[0], 1).collect()]
+    assert c.gauges().collect()[0].folders == 1 and [r.id for r in c.rerank(t.select("id"), e.embed(["ranking model"])[0], 1).collect()] == ["b"]
+    qrels = spark.createDataFrame([("q1", ["b"], None), ("q2", ["a"], None)], "query_id string, relevant_ids array<string>, relevance_scores array<float>")
+    each, report = retrieval.evaluate_run(c.read(), asked.select("query_id", "vector"), qrels, 2)
+    assert {r.query_id: r.rr for r in each.collect()} == {"q1": 1.0, "q2": 0.0} and report.collect()[0].mrr == 0.5 and report.collect()[0].p50 is None
+
+
+def test_percentiles_and_places(spark):
+    df = spark.range(1000).select((F.pmod(F.col("id") * 7919, F.lit(1000)) / 10).alias("x")).unionByName(spark.createDataFrame([(None,)], "x double"))
+    assert list(df.agg(F.count("*").alias("n")).select(*evaluation.nearest_rank(df, "x")).collect()[0]) == [50.0, 94.9, 98.9]
+    at = textindex.insertion_numbers(spark.range(500).select((F.col("id") * 3).alias("id"), (-F.col("id")).alias("seq"))).collect()
+    assert {r.id: r.n for r in at} == {3 * i: 500 - i for i in range(500)}
+
+
+def test_ties_and_batches(spark):
+    rows = spark.createDataFrame([(f"d{i:02}", [1.0, float(i % 3)]) for i in range(40)], "id string, vector array<float>").repartition(5)
+    q = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(3)], "query_id int, vector array<float>")
+    got = search.batch_topk(rows, q, 4).orderBy("query_id", "rank").collect()
+    assert [r.id for r in got] == ["d00", "d03", "d06", "d09"] * 3
+
+
+def test_streams(spark, tmp_path):
+    ev = spark.sql("SELECT if(id < 8, 'c', 'd') AS client, timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id) AS ts, id AS request_id FROM range(10)")
+    ev.filter("request_id < 4").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
+
+    def run():
+        serving.limit_requests(source, 0.5, 2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    ev.filter("request_id >= 4").write.mode("append").parquet(f"{tmp_path}/in")
+    run()  # the state of a client goes on from one batch to the next
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("client", "request_id", "allowed").orderBy("request_id").collect()]
+    want = [tuple(r) for r in serving.limit_requests_batch(ev, 0.5, 2).select("client", "request_id", "allowed").orderBy("request_id").collect()]
+    assert got == want and [a for _, _, a in got][:8] == [True, True, True, False, True, False, True, False]
+    c = Collection(spark, f"{tmp_path}/c")
+    spark.createDataFrame([("a", [1.0], None)], VEC).write.parquet(f"{tmp_path}/vin")
+    for v in (2.0, None):
+        stream = serving.upsert_stream(spark.readStream.schema(VEC).parquet(f"{tmp_path}/vin"), c, f"{tmp_path}/vcp")
+        stream.processAllAvailable()
+        stream.stop()
+        if v:
+            spark.createDataFrame([("a", [v], {"k": "v"})], VEC).write.mode("append").parquet(f"{tmp_path}/vin")
+    assert [(r.vector, r.tags) for r in c.read().collect()] == [([2.0], {"k": "v"})]
+
+
+def test_scratch_tables(spark):
+    from skein import session
+
+    with session.scratch():
+        cut = session.cut_lineage(spark.range(3))
+        path = cut._table[1]
+        assert cut.count() == 3 and Path(path.removeprefix("file:")).exists()
+    assert not Path(path.removeprefix("file:")).exists()
