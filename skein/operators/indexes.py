@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,6 +284,28 @@ def early_stop_distance(a, b, cutoff: float, shard: int = 64) -> float | None:
     return total**0.5
 
 
+def within_distance(rows: DataFrame, query, cutoff: float, shard: int = 16) -> DataFrame:
+    """``(id, distance)`` of the records within `cutoff`, summed by shards of dimensions.
+
+    Records whose partial sum is beyond the cutoff drop out of the batch, so
+    with dimensions in order of variance most of them are given up early.
+    """
+    kind, q = dict(rows.dtypes)["id"], np.asarray(query, float)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            left, total = np.arange(len(x)), np.zeros(len(x))
+            for i in range(0, len(q), shard):
+                total[left] += ((x[left, i : i + shard].astype(np.float64) - q[i : i + shard]) ** 2).sum(axis=1)
+                left = left[total[left] <= cutoff * cutoff]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(left)), pa.array(np.sqrt(total[left]))], names=["id", "distance"])
+
+    return rows.select("id", "vector").mapInArrow(run, f"id {kind}, distance double")
+
+
 def index_bytes(kind: str, n: int, d: int, *, m: int = 8, codes: int = 256, cells: int = 256, buckets: int = 0) -> int:
     """Size of an index by its closed formula."""
     return {"hnsw": n * d * 4, "es4d": n * d * 4, "sq8": n * d, "pq": n * m + m * codes * (d // m) * 4, "ivf": (n + cells) * d * 4, "lsh": buckets * 64 + n * d * 4}[kind]

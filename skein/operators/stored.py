@@ -201,7 +201,9 @@ class StoredIndex:
             seen += n
             if seen >= k:
                 break
-        top = lambda c: index_topk(self.table.read(where=cells(c)).select("id", "vector"), q, k, "euclidean", "es4d")
-        first = top(near).collect() if near else []
+        rows = lambda c: self.table.read(where=cells(c)).select("id", "vector")
+        first = index_topk(rows(near), q, k, "euclidean", "es4d").collect() if near else []
         cutoff = first[-1]["distance"] if len(first) == k else float("inf")
-        return top([c for c, radius, _ in self.state["stats"] if far[c] - radius <= cutoff * (1 + 1e-9)])
+        within = rows([c for c, radius, _ in self.state["stats"] if far[c] - radius <= cutoff * (1 + 1e-9)])
+        found = indexes.within_distance(within, q, cutoff * (1 + 1e-9))
+        return found.withColumn("score", 1 / (1 + F.col("distance"))).orderBy("distance", "id").limit(k)

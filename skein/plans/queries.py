@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import sql
 from skein.functions import vectors as V
 from skein.operators import chunkers, evaluation, fusion, indexes, rag, retrieval, search, stored, tensor, textindex
 from skein.operators import filters as T
@@ -104,6 +105,16 @@ def v1_scalar_functions(spark, sf):
     return e.select("id", V.is_valid("vector").alias("valid"), *[F.round(c, 6).alias(n) for n, c in cols.items()])
 
 
+def v0_sql_functions(spark, sf):
+    """The functions registered for SQL."""
+    sql.register(spark)
+    q = "array(" + ", ".join(f"{x!r}D" for x in Q) + ")"
+    view = f"v_{uuid.uuid4().hex}"
+    _embeddings(spark, sf).createOrReplaceTempView(view)
+    v = "cast(vector AS ARRAY<DOUBLE>)"
+    return spark.sql(f"SELECT id, round(cosine_similarity({v}, {q}), 6) AS cosine, round(l2_distance({v}, {q}), 6) AS l2, round(l1_distance({v}, {q}), 6) AS l1, round(dot_product({v}, {q}), 6) AS dot, is_valid_vector({v}) AS valid, size(text_tokens('One, two; a three!')) AS tokens FROM {view}")
+
+
 def v5_similarities(spark, sf):
     """Similarity by kind, validity with invalid vectors, Pearson correlation, zero vectors and Hamming distance."""
     q = search.literal(Q)
@@ -118,7 +129,10 @@ def v7_normalize(spark, sf):
 
 
 def v14_variance_order(spark, sf):
-    return indexes.per_dimension(_embeddings(spark, sf)).select("pos", F.round("variance", 8).alias("variance"))
+    e = _embeddings(spark, sf)
+    place = {p: k for k, p in enumerate(indexes.variance_order(e))}  # one number a dimension
+    at = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+    return indexes.per_dimension(e).select("pos", F.round("variance", 8).alias("variance"), at[F.col("pos")].alias("place"))
 
 
 def f8_filter(spark, sf):
@@ -127,7 +141,7 @@ def f8_filter(spark, sf):
 
 
 def f8_clauses(spark, sf):
-    node = T.from_clauses({"category": "article"}, {"status": "deleted"}, {"index": "hnsw", "status": "active"})
+    node = T.from_clauses({"category": "article"}, {"status": "deleted"}, {"index": "626", "status": "live"})
     return _docs(spark, sf).filter(T.compile_filter(node)).select("id")
 
 
@@ -373,6 +387,23 @@ def _tensors(spark, sf):
     return _embeddings(spark, sf).select("id", F.col("vector").alias("data"), F.array(F.lit(8), F.lit(8)).alias("shape"))
 
 
+def n1_access(spark, sf):
+    """Validity, one value, a row, a part and a fiber of 8 x 8 tensors, and of one whose shape is wrong."""
+    t = _tensors(spark, sf).withColumn("shape", F.when(F.col("id") % 5 == 0, F.array(F.lit(8), F.lit(9))).otherwise(F.col("shape")))
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")), 6)
+    return t.select("id", tensor.is_valid().alias("valid"), F.round(tensor.get([2, 3]).cast("double"), 6).alias("value"), add(tensor.row(8, 4)).alias("row"), add(tensor.subtensor([8, 8], 1, 2, 3)).alias("part"), add(tensor.fiber([8, 8], 0, [0, 5])).alias("fiber"))
+
+
+def n7_store(spark, sf):
+    """A tensor store after inserting, replacing and deleting."""
+    store = tensor.TensorStore(spark, _scratch(spark, "tensors"))
+    t = _tensors(spark, sf)
+    store.insert(t)
+    store.insert(t.filter("id % 3 = 0").withColumn("data", F.transform("data", lambda x: -x)).withColumn("shape", F.array(F.lit(64))))
+    store.delete(t.filter("id % 4 = 0").select("id"))
+    return store.read().select("id", F.round(F.col("data")[0], 6).alias("first"), F.size("shape").alias("rank"))
+
+
 def n8_tensor_search(spark, sf):
     return tensor.search(_tensors(spark, sf), Q, [8, 8], 10, "cosine", agg_dim=1, weights=[float(i + 1) for i in range(8)]).select("id", F.round("score", 6).alias("score"))
 
@@ -423,6 +454,18 @@ def c8_document_metadata(spark, sf):
     return m.select(F.col("id").alias("chunk_id"), *[F.col("metadata")[k].alias(k) for k in ("word_count", "sentence_count", "paragraph_count", "avg_word_length")])
 
 
+def c9_contexts(spark, sf):
+    """Of each text: whether what a piece shares with its neighbours is what stands there."""
+    rows = _chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    p = chunkers.chunk(rows, chunkers.ChunkingConfig(400, 50), "document").join(rows, "id")
+    w = Window.partitionBy("id").orderBy("n")
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    before, after = F.col("metadata")["context_before"], F.col("metadata")["context_after"]
+    end, start = F.lag("end_index").over(w).cast("int"), F.lead("start_index").over(w).cast("int")
+    right = (F.coalesce(F.col("text").substr(end - size(before) + 1, size(before)) == before, end.isNull())) & F.coalesce(F.col("text").substr(start + 1, size(after)) == after, start.isNull()) & (size(before) <= 50) & (size(after) <= 50)
+    return p.withColumn("right", right).groupBy("id").agg(F.every("right").alias("right"), F.count("*").alias("pieces")).select(F.col("id").alias("chunk_id"), "right")
+
+
 def c10_markdown(spark, sf):
     return _pieces(spark, sf, "markdown")
 
@@ -605,11 +648,15 @@ z AS (SELECT chunk_id, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, least(1, (20
         "s2_lookup": f"SELECT id::VARCHAR AS id, 64 AS dimension, round(v[1], 6) AS first FROM {E_SQL} WHERE id IN (7, 42, 123)",
         "s3_pages": f"SELECT id FROM (SELECT id::VARCHAR AS id FROM {E_SQL}) ORDER BY id LIMIT 20 OFFSET 40",
         "s7_index_bytes": f"WITH n AS (SELECT count(*) AS n, max(len(v)) AS d FROM {E_SQL}) {splits}",
+        "v0_sql_functions": f"{e} SELECT id, round({cos}, 6) AS cosine, round({L2.format(a='v', b=Q_SQL)}, 6) AS l2, round(list_sum(list_transform(list_zip(v, {Q_SQL}), lambda z: abs(z[1] - z[2]))), 6) AS l1, round(list_dot_product(v, {Q_SQL}), 6) AS dot, true AS valid, 3 AS tokens FROM e",
+        "n1_access": f"{e} SELECT id, id % 5 <> 0 AS valid, round(CASE WHEN id % 5 = 0 THEN v[22] ELSE v[20] END, 6) AS value, round(list_sum(v[33:40]), 6) AS row, round(list_sum(list_transform(range(0, 8), lambda r: v[8 * r + 3] + v[8 * r + 4] + v[8 * r + 5])), 6) AS part, round(list_sum(list_transform(range(0, 8), lambda r: v[8 * r + 6])), 6) AS fiber FROM e",
+        "n7_store": f"{e} SELECT id::VARCHAR AS id, round(CASE WHEN id % 3 = 0 THEN -v[1] ELSE v[1] END, 6) AS first, CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END AS rank FROM e WHERE id % 4 <> 0",
+        "c9_contexts": f"SELECT chunk_id, true AS right FROM {CHUNK_SQL} WHERE {blank}",
         "s13_writes": f"""{e} SELECT id::VARCHAR AS id, round(CASE WHEN id % 10 IN (3, 5) THEN -v[1] ELSE v[1] END, 6) AS first, CASE WHEN id % 10 <> 3 THEN label::VARCHAR END AS label, 64 AS dimension, NULL::VARCHAR AS error FROM e WHERE id % 10 <> 7 AND (id % 10 <> 3 OR id % 3 = 0)
 UNION ALL SELECT id::VARCHAR, NULL, NULL, NULL, CASE WHEN id % 20 = 3 THEN 'DimensionMismatch' ELSE 'InvalidVector' END FROM e WHERE id % 10 = 3 UNION ALL SELECT id::VARCHAR, NULL, NULL, NULL, 'DuplicateVector' FROM e WHERE id % 50 = 1""",
         "v5_similarities": f"""{e} SELECT id, id % 3 = 2 AS valid, round(1 / (1 + list_sum(list_transform(list_zip(v, {Q_SQL}), lambda z: abs(z[1] - z[2])))), 6) AS manhattan, round(1 / (1 + {L2.format(a="v", b=Q_SQL)}), 6) AS euclidean,
 round((SELECT corr(a, b) FROM (SELECT unnest(v) AS a, unnest({Q_SQL}) AS b)), 6) AS pearson, 0.0::DOUBLE AS to_zero, bit_count(xor(id::BIGINT, 21::BIGINT))::INT AS hamming FROM e""",
-        "f8_clauses": "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, vector DESC NULLS LAST) AS n FROM vector_docs WHERE id IS NOT NULL) WHERE n = 1 AND tags['category'] = 'article' AND coalesce(tags['status'], '') <> 'deleted' AND (tags['index'] = 'hnsw' OR tags['status'] = 'active')",
+        "f8_clauses": "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, vector DESC NULLS LAST) AS n FROM vector_docs WHERE id IS NOT NULL) WHERE n = 1 AND tags['category'] = 'article' AND coalesce(tags['status'], '') <> 'deleted' AND (tags['index'] = '626' OR tags['status'] = 'live')",
         "k4_linear_churn": _near(churned),
         "k14_early_churn": _near(churned),
         "k17_ivf_churn": _near(churned),
@@ -689,7 +736,7 @@ ev AS (SELECT query_id, searched_at, latency_ms, CASE WHEN n_rel > 0 THEN coales
         "s21_text_records": "SELECT doc_id::VARCHAR AS id, 64 AS dimension, length(text) AS chars FROM documents WHERE text IS NOT NULL",
         "v1_scalar_functions": f"SELECT id, true AS valid, round({cos}, 6) AS cosine, round({l2}, 6) AS l2, round(list_sum(list_transform(list_zip(v, {Q_SQL}), lambda z: abs(z[1] - z[2]))), 6) AS l1, round({dot}, 6) AS dot FROM {E_SQL}",
         "v7_normalize": f"SELECT id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, 1.0::DOUBLE AS norm FROM {E_SQL}",
-        "v14_variance_order": f"SELECT pos::INT AS pos, round(var_pop(x), 8) AS variance FROM (SELECT unnest(v) AS x, unnest(range(0, 64)) AS pos FROM {E_SQL}) GROUP BY pos",
+        "v14_variance_order": f"SELECT pos::INT AS pos, round(var_pop(x), 8) AS variance, (row_number() OVER (ORDER BY var_pop(x) DESC, pos) - 1)::INT AS place FROM (SELECT unnest(v) AS x, unnest(range(0, 64)) AS pos FROM {E_SQL}) GROUP BY pos",
         "f8_filter": f"SELECT id FROM {latest} WHERE n = 1 AND tags['category'] IN ('article', 'image', 'none') AND coalesce(tags['status'], '') <> 'deleted' AND tags['index'] IS NOT NULL",
         "k1_topk_cosine": _top(cos),
         "k2_topk_euclidean": _top(f"1 / (1 + {l2})"),

@@ -449,3 +449,22 @@ def test_scratch_tables(spark):
         path = cut._table[1]
         assert cut.count() == 3 and Path(path.removeprefix("file:")).exists()
     assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_config(spark, tmp_path):
+    from skein.config import EngineConfig
+
+    c = EngineConfig.of({"path": str(tmp_path), "algorithm": "ivf", "nlist": 2, "dimension": 2})
+    c.collection(spark).create(spark.createDataFrame([("a", [1.0, 0.0], None), ("b", [0.0, 1.0], None)], VEC))
+    assert [r.id for r in c.build_index(spark).search([0.0, 1.0], 1).collect()] == ["b"]
+    assert c.make_llm()("x") == "x" and c.make_embedder().dimension == 384 and c.as_dict()["nlist"] == 2
+    for bad in ({"algorithm": "x"}, {"metric": "x"}, {"nlist": 0}, {"overlap_size": 5000}, {"colour": 1}):
+        with pytest.raises((ValueError, errors.DatabaseError)):
+            EngineConfig.of({"path": "p"} | bad)
+
+
+def test_within_distance(spark):
+    df, x = docs(spark, 200, 40)
+    d = np.sqrt(((x.astype(float) - x[3]) ** 2).sum(axis=1))
+    got = {r.id: r.distance for r in indexes.within_distance(df, x[3].tolist(), 8.0).collect()}
+    assert set(got) == {f"d{i:03}" for i in np.nonzero(d <= 8)[0]} and all(abs(got[f"d{i:03}"] - d[i]) < 1e-6 for i in np.nonzero(d <= 8)[0])
