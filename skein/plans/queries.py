@@ -188,7 +188,7 @@ _STORED: dict = {}
 def stored_index(spark, sf, kind, **config):
     """An index over the embeddings, built once a session and loaded afterwards."""
     key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _STORED:
+    if key not in _STORED or not stored.StoredIndex(spark, _STORED[key], kind).state:
         _STORED[key] = _scratch(spark, f"index-{kind}")
         stored.StoredIndex(spark, _STORED[key], kind, **config).build(_embeddings(spark, sf))
     return stored.StoredIndex(spark, _STORED[key], kind, **config)

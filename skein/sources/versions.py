@@ -5,7 +5,8 @@ takes, and then creates the manifest of the next version, which lists the
 folders that make up the table. Creating a manifest is exclusive: of two
 writers that started from one version the second fails and leaves nothing that
 readers see. Rows carry ``seq``, the version that wrote them, and ``gone``; the
-last row of a key counts.
+last row of a key counts. The manifest says how many of the first folders hold
+every key once: those rows are never grouped, later ones only push them out.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class VersionedTable:
     def manifest(self, version: int | None = None) -> dict:
         known = self.versions()
         if not known:
-            return {"folders": [], "unique": True, "extra": {}}
+            return {"folders": [], "unique": 0, "extra": {}}
         fs, make = self._fs()
         stream = fs.open(make(f"{self.path}/manifest-{known[-1] if version is None else version}"))
         try:
@@ -57,11 +58,12 @@ class VersionedTable:
     def _write(self, rows: DataFrame, seq: int) -> str:
         folder = f"data-{uuid.uuid4().hex}"
         out = rows.withColumn("seq", F.lit(seq).cast("bigint"))
-        writer = (out.repartition(self.partition) if self.partition else out).write
+        # Rows of a cell come together, and a hot cell is spread over tasks again.
+        writer = (out.hint("rebalance", self.partition) if self.partition else out).write
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{folder}")
         return folder
 
-    def _publish(self, version: int, folders: list[str], unique: bool, extra: dict) -> None:
+    def _publish(self, version: int, folders: list[str], unique: int, extra: dict) -> None:
         fs, make = self._fs()
         try:
             stream = fs.create(make(f"{self.path}/manifest-{version}"), False)
@@ -72,25 +74,27 @@ class VersionedTable:
 
     # Reads
 
-    def rows(self, version: int | None = None) -> DataFrame:
-        """All rows as written, with ``seq`` and ``gone``."""
-        folders = self.manifest(version)["folders"]
+    def _folders(self, folders: list[str], where=None) -> DataFrame:
+        """All rows of folders as written, with ``seq`` and ``gone``."""
         schema = f"{self.schema}, seq bigint, gone boolean"
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return _union([self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders])
+        rows = _union([self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders])
+        return rows if where is None else rows.filter(where)
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        return self._folders(self.manifest(version)["folders"])
 
     def read(self, version: int | None = None, where=None) -> DataFrame:
-        """The last row of each key that is not gone. `where` may only look at the partition column."""
+        """The last row of each key that is not gone. `where` may only look at keys and the partition column."""
         m = self.manifest(version)
-        rows = self.rows(version)
-        if where is not None:
-            rows = rows.filter(where)
-        if m["unique"]:
-            return rows.select(*self.columns)
+        first = self._folders(m["folders"][: m["unique"]], where).select(*self.columns)
+        if len(m["folders"]) == m["unique"]:
+            return first
         rest = [c for c in self.columns if c not in self.keys]
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest, "gone"), "seq").alias("r"))
-        return last.filter("NOT r.gone").select(*[c if c in self.keys else F.col(f"r.{c}").alias(c) for c in self.columns])
+        late = self._folders(m["folders"][m["unique"] :], where).groupBy(*self.keys).agg(F.max_by(F.struct(*rest, "gone"), "seq").alias("r"))
+        late_rows = late.filter("NOT r.gone").select(*[c if c in self.keys else F.col(f"r.{c}").alias(c) for c in self.columns])
+        return first.join(late.select(*self.keys), list(self.keys), "left_anti").unionByName(late_rows)
 
     # Writes
 
@@ -103,14 +107,15 @@ class VersionedTable:
             kinds = dict(f.split(None, 1) for f in _fields(self.schema))
             out = out.unionByName(gone.select(*[F.col(c) if c in self.keys else F.lit(None).cast(kinds[c]).alias(c) for c in self.columns], F.lit(True).alias("gone")))
         folders = [*m["folders"], self._write(out, version)]
-        self._publish(version, folders, m["unique"] and new and gone is None, m["extra"] | (extra or {}))
+        whole = m["unique"] == len(m["folders"]) and new and gone is None
+        self._publish(version, folders, len(folders) if whole else m["unique"], m["extra"] | (extra or {}))
         if len(folders) > MOST_FOLDERS:
             self.compact()
 
     def replace(self, rows: DataFrame, extra: dict | None = None) -> None:
         """Make `rows`, which have unique keys, all there is."""
         version = (self.versions() or [0])[-1] + 1
-        self._publish(version, [self._write(rows.select(*self.columns).withColumn("gone", F.lit(False)), version)], True, self.manifest()["extra"] | (extra or {}))
+        self._publish(version, [self._write(rows.select(*self.columns).withColumn("gone", F.lit(False)), version)], 1, self.manifest()["extra"] | (extra or {}))
 
     def compact(self) -> None:
         self.replace(self.read())
