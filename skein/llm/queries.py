@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.describe(clusters.mutual_clusters(current_records(_t(spark, sf, "vector_docs"))))
+    d = clusters.describe(clusters.mutual_clusters(current_records(_t(spark, sf, "vector_docs"))))
+    return d.select("cluster_id", "size", F.array_join("typical_ids", " ").alias("typical_ids"))
 
 
 def _current_chunks(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -209,4 +210,8 @@ SELECT id, rep, copies FROM c JOIN g USING (x) UNION ALL SELECT id, rep, copies
     limits = p6.replace(p6[p6.index("SELECT chunk_id, (CASE") :], "SELECT chunk_id, true AS within, true AS meet, true AS covers FROM m WHERE length(content) > m")
     recall = f"WITH {_CURRENT} SELECT 10 * count(*) AS wanted, true AS at_least_90_percent FROM cur WHERE coalesce(try_cast(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) % 500 = 0, false)"
     full = "SELECT count(*) AS documents, true AS within, true AS whole, true AS tight FROM documents"
-    return {"p2_membership": members, "p3_recall": recall, "p6_invariants": limits, "p9_invariants": full, "p1_found": p1, "p2_found": p2, "p3_found": p3, "p4_found": p4, "p4_scores": scores, "p6_found": p6}
+    described = f"""WITH {p1[5:].replace(chr(10) + "SELECT cluster_id, id FROM k", ", found AS (SELECT cluster_id, id FROM k")}), m AS (SELECT cluster_id, id, u FROM found JOIN unit USING (id)),
+x AS (SELECT cluster_id, pos, sum(x) AS x FROM (SELECT cluster_id, unnest(u) AS x, unnest(range(0, 128)) AS pos FROM m) GROUP BY ALL), c AS (SELECT cluster_id, list(x ORDER BY pos) AS c FROM x GROUP BY cluster_id),
+t AS (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY round(list_dot_product(u, c) / sqrt(list_dot_product(c, c)), 9) DESC, id) AS k FROM m JOIN c USING (cluster_id))
+SELECT cluster_id, count(*) AS size, string_agg(id, ' ' ORDER BY k) FILTER (k <= 3) AS typical_ids FROM t GROUP BY cluster_id"""
+    return {"p1_clusters": described, "p2_membership": members, "p3_recall": recall, "p6_invariants": limits, "p9_invariants": full, "p1_found": p1, "p2_found": p2, "p3_found": p3, "p4_found": p4, "p4_scores": scores, "p6_found": p6}

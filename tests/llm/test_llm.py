@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -340,3 +341,32 @@ def test_levels_of_lists():
     cell = ix.nearest(sample, 1)[:, 0]
     codes = ix.encode(sample, cell)
     assert np.allclose(ix.scores(sample[:3], codes, cell), sample[:3] @ ix.decode(codes, cell).T, atol=1e-3)
+
+
+def test_empty_tables(spark, tmp_path):
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        t = spark.read.parquet(str(p))
+        (t if p.stem in ("chunk_configs", "common_words") else t.limit(0)).write.parquet(f"{tmp_path}/{p.stem}.parquet")
+    for name, query in queries.queries().items():
+        n = query(spark, str(tmp_path)).count()
+        assert n == (1 if name in ("p3_recall", "p9_invariants") else 0), name
+
+
+def test_nulls_and_clashing_columns(spark):
+    """Nulls in any column, repeated rows, and columns with the names that operators use themselves."""
+    clash = {c: F.lit(None).cast("string") for c in ("n", "rep", "sig", "h", "k", "pivot", "cell", "side", "df", "row_n", "piece", "s", "form")}
+    good = [1.0] + [0.5] * 127
+    rec = current_records(spark.createDataFrame([("a", good, 1, 0), ("a", good, 1, 0), ("b", None, None, None), (None, None, None, None), ("c", [None] * 128, 1, 0)], KIND).withColumns({c: v for c, v in clash.items() if c != "n"}))
+    assert [r.id for r in rec.collect()] == ["a"]
+    assert clusters.mutual_clusters(rec).count() == 0 and neighbours.nearest(rec, 3).count() == 0 and neardup.similar_vectors(rec).count() == 0
+    text = spark.createDataFrame([("a", "vector vector words"), ("b", None), (None, None), ("c", "")], "id string, text string").withColumns(clash)
+    assert distinctive.residuals(distinctive.term_counts(text.filter("id IS NOT NULL"))).count() == 1
+    assert {r.id: r.clean for r in markup.clean(text).collect() if r.id} == {"a": "vector vector words", "b": None, "c": ""}
+    assert [r.id for r in sentences.split(text).collect()] == ["a"] and neardup.similar_texts(text).count() == 0
+    cut = splitting.split(text.withColumns({"limit": F.lit(8), "overlap": F.lit(None).cast("int")}))
+    assert {r.id for r in cut.collect()} == {"a"}
+    assert {r.id: r.ids for r in tokens.encode(text.withColumn("ids", F.lit("x"))).select("id", "ids").collect()}["b"] == []
+    sizes = tokens.count_tokens(text.filter("id IS NOT NULL"), out="size")
+    assert {r.id for r in packing.fill(sizes).collect()} == {"a", "b", "c"}
+    judged = quality.judge(text.withColumn("lang", F.lit(None).cast("string")), spark.createDataFrame([("en", "the")], "lang string, word string"))
+    assert [r.id for r in judged.collect()] == ["a"]
