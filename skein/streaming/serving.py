@@ -23,7 +23,9 @@ def limit_requests(events: DataFrame, rate: float, burst: float, idle: float = 3
     """``(client, ts, request_id, allowed, wait)`` for ``(client, ts, request_id)``, a batch or a stream.
 
     The state of a client is its tokens and last time; it expires after `idle`
-    seconds without events, when its bucket is full again anyway. In a batch
+    seconds without events, when its bucket is full again anyway. A stream that
+    takes what is available and stops waits for that too, unless
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` is false. In a batch
     each micro-batch is all input; the rows of a client are handled in order of
     time.
     """

@@ -417,6 +417,7 @@ def test_ties_and_batches(spark):
 
 
 def test_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     ev = spark.sql("SELECT if(id < 8, 'c', 'd') AS client, timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id) AS ts, id AS request_id FROM range(10)")
     ev.filter("request_id < 4").write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
