@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import clusters, distinctive, markup, neardup, neighbours, packing, quality, queries, sentences, splitting, tokens
 from skein.llm.vectors import current_records, unit
+from skein.session import cut_lineage, shared_folder
 
 KIND = "id string, vector array<float>, updated_at bigint, n int"
 
@@ -305,6 +306,48 @@ def test_hot_vectors(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
 
 
+def test_only_hot_vectors_move(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        each = sc.statusStore().executorList(True)
+        return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 128)).astype(np.float32)
+    x[1] = 2 * x[0]
+    rows = cut_lineage(spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<float>"))
+    hot = cut_lineage(spark.createDataFrame([(7, f"v{i:04}", 70) for i in range(70)], "sig bigint, id string, n bigint"))
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where a table is too large
+    try:
+        before = shuffled()
+        assert [tuple(r) for r in neardup.block_pairs(hot, rows, 0.99).collect()] == [("v0000", "v0001")]
+        assert shuffled() - before < x.nbytes / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_contents_are_dropped_when_pairs_are_known(spark):
+    """Of the tables written on the way to near-duplicates those of all texts and vectors don't stay."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 128))
+    x[1] = 2 * x[0]
+    texts = spark.createDataFrame([(f"t{i:04}", " ".join(str(k) for k in rng.integers(0, 10**9, 60))) for i in range(1000)] + [("u", "a b")], "id string, text string")
+
+    def kept():
+        return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    rec = cut_lineage(current_records(records(spark, x)))
+    for run, table in ((neardup.similar_texts, cut_lineage(texts)), (neardup.similar_vectors, rec)):
+        before = kept()
+        found = run(table)
+        assert kept() - before < 100_000  # all texts take about 300 kB, all vectors 1 MB
+        got = [tuple(r) for r in found.collect()]
+        assert got == ([] if table is not rec else [("v0000", "v0001")]) == [tuple(r) for r in found.collect()]
+
+
 def test_membership(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", "y", 3), ("d", None, 4), (None, "x", 5)], "id string, text string, rep int")
     assert {tuple(r) for r in neardup.membership(df, "text").collect()} == {("a", "a", 2), ("b", "a", 2)}
