@@ -329,7 +329,7 @@ def t3_weights(spark, sf):
 def t9_threshold(spark, sf):
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "title")
     queries = d.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
-    hits = textindex.TextIndex(d.select("id", "text"), _letters).search(queries, 1000, least=0.05)
+    hits = textindex.TextIndex(d.select("id", "text"), _letters).above(queries, 0.05)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -14,6 +14,7 @@ from skein import errors
 from skein.functions import vectors as V
 from skein.operators import chunkers, evaluation, fusion, graph, indexes, rag, retrieval, search, stored, tensor, textindex
 from skein.operators import filters as T
+from skein.plans import queries
 from skein.sources import embedders
 from skein.sources.collection import Collection
 from skein.streaming import serving
@@ -469,3 +470,10 @@ def test_within_distance(spark):
     d = np.sqrt(((x.astype(float) - x[3]) ** 2).sum(axis=1))
     got = {r.id: r.distance for r in indexes.within_distance(df, x[3].tolist(), 8.0).collect()}
     assert set(got) == {f"d{i:03}" for i in np.nonzero(d <= 8)[0]} and all(abs(got[f"d{i:03}"] - d[i]) < 1e-6 for i in np.nonzero(d <= 8)[0])
+
+
+def test_threshold_gives_every_document(spark, tmp_path):
+    rows = [(i, "alpha beta" if i % 4 else "gamma", "alpha" if i == 50 else "none of these") for i in range(1, 1801)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.id for r in queries.t9_threshold(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [i for i in range(1, 1801) if i % 4]  # 1,350 of one query
