@@ -521,3 +521,22 @@ def test_text_search_in_blocks(spark, monkeypatch):
     hits = ix.hits(q)
     sent = ix.scored(q, hits, 3, None).groupBy("query_id", F.spark_partition_id()).count()
     assert sent.filter("count > 3").count() == 0 < ix.scored(q, hits, None, None).groupBy("query_id").count().filter("count > 3").count()
+
+
+def test_dense_batches_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 50)
+    x = np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32)
+    docs = spark.createDataFrame([(f"d{i:03}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<float>")
+    for kind, digits in (("cosine", None), ("cosine", 2), ("dot", None)):
+        got = search.batch_topk(docs, docs.limit(20).select(F.col("id").alias("query_id"), "vector"), 4, kind, digits).collect()
+        s = x.astype(float) @ x.astype(float).T / (np.outer(*[np.linalg.norm(x.astype(float), axis=1)] * 2) if kind == "cosine" else 1)
+        for i in range(20):
+            place = s[i] if digits is None else np.floor(s[i] * 100 + 0.5)
+            want = sorted(range(300), key=lambda j: (-place[j], j))[:4]
+            assert [r.id for r in sorted((r for r in got if r.query_id == f"d{i:03}"), key=lambda r: r["rank"])] == [f"d{j:03}" for j in want]
+    def bounded(x, q, kind):
+        assert len(x) * len(q) <= 50
+        return x @ q.T
+
+    monkeypatch.setattr(search, "_scores", bounded)
+    assert search.batch_topk(docs, docs.limit(20).select(F.col("id").alias("query_id"), "vector"), 4).count() == 80
