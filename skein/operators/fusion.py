@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Candidates of a single ranking that are fused.
 MOST = 100_000
+#: Scores that are equal to so many digits are ties.
+DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ def parse(name: str | None, dense: float = 0.7, sparse: float = 0.3, k: float =
 
 def best(*by: str):
     """The window of the best scores first, ties (to nine digits) to the smaller id."""
-    return Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "id")
+    return Window.partitionBy(*by).orderBy(F.desc(F.round("score", DIGITS)), "id")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, method=None, k: int = 10, by: list[str] | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ def hybrid_search(docs: DataFrame, index: TextIndex, queries: DataFrame, k: int
     known words has one arm.
     """
     k = clamp_k(k)
-    dense = batch_topk(docs, queries.select("query_id", "vector").filter("vector IS NOT NULL"), dense_candidates or 3 * k, kind).drop("rank")
+    dense = batch_topk(docs, queries.select("query_id", "vector").filter("vector IS NOT NULL"), dense_candidates or 3 * k, kind, fusion.DIGITS).drop("rank")
     sparse = index.search(queries.select("query_id", "text"), sparse_candidates or 3 * k).drop("rank")
     return fusion.fuse(dense, sparse, method, k, ["query_id"])
 

@@ -540,3 +540,14 @@ def test_dense_batches_in_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(search, "_scores", bounded)
     assert search.batch_topk(docs, docs.limit(20).select(F.col("id").alias("query_id"), "vector"), 4).count() == 80
+
+
+def test_hybrid_ties_of_rounding(spark):
+    """Multiples of one vector have the same cosine but for its last digits: the smaller ids are the candidates."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 90, 16)
+    docs = spark.createDataFrame([(i, [float(v) for v in x * (1 + i * 37 % 101)]) for i in range(100)], "id bigint, vector array<float>")
+    texts = spark.createDataFrame([(i, "nothing") for i in range(100)], "id bigint, text string")
+    q = spark.createDataFrame([(7, [float(v) for v in rng.integers(0, 3, 16)], "unknown")], "query_id bigint, vector array<float>, text string")
+    got = retrieval.hybrid_search(docs, textindex.TextIndex(texts), q, 5, fusion.Rrf(60)).orderBy("rank").collect()
+    assert [(r.id, round(r.combined_score, 8)) for r in got] == [(i, round(1 / (61 + i), 8)) for i in range(5)]
